@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tagweave.functions.codes import canonical_code
+from tagweave.llm.canonical import canonical_entries
 from tagweave.llm.runs import collapse_runs
 from tagweave.llm.survivors import FieldRule, best_records, field_survivors
-from tagweave.runtime import table
+from tagweave.runtime import is_blank, table
 
 
 def _runs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -54,7 +55,42 @@ def p4_survivors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best.withColumnRenamed("group_key", "full_order_code")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_runs, p4_found, p4_survivors)}
+# The words that precede a value on labels, by list, in capitals.
+FIELD_LABELS = {
+    "product": (r"ITEM\b", r"STYLE\b", r"NO\.\s", r"#"),
+    "size": (r"SIZE\b", r"SZ\b"),
+    "color": (r"COLOR\b", r"COL\.", r"CLR\b"),
+}
+
+
+def _lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    of = lambda t, c, n: table(spark, sf_dir, t).select(F.lit(n).alias("list_name"), F.col(c).alias("entry"))
+    return of("products", "code", "product").unionByName(of("sizes", "name", "size")).unionByName(of("colors", "name", "color"))
+
+
+def _free_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``frame_id, list_name, raw_value``: every value of the texts and results that isn't an entry as it stands, once a frame."""
+    read = table(spark, sf_dir, "ocr_blocks").where(F.col("zone").isin("product", "size", "color")).select("frame_id", F.col("zone").alias("list_name"), F.col("text").alias("raw_value"))
+    label = F.col("label_data")
+    fields = F.array(*[F.struct(F.lit(n).alias("list_name"), c.alias("raw_value")) for n, c in (("product", label.product_code), ("size", label["size"]), ("color", label.color))])
+    results = table(spark, sf_dir, "results").select("frame_id", F.explode(fields).alias("x")).select("frame_id", "x.*")
+    both = read.unionByName(results).where(~is_blank(F.col("raw_value")) & F.col("frame_id").isNotNull())
+    return both.join(_lists(spark, sf_dir).withColumnRenamed("entry", "raw_value"), ["list_name", "raw_value"], "left_anti").select("frame_id", "list_name", "raw_value").distinct()
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    free = _free_values(spark, sf_dir)
+    mapped = canonical_entries(free, _lists(spark, sf_dir), FIELD_LABELS)
+    return free.join(mapped, ["list_name", "raw_value"]).select("frame_id", "list_name", "raw_value", "entry")
+
+
+def p5_unmatched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    free = _free_values(spark, sf_dir)
+    mapped = canonical_entries(free, _lists(spark, sf_dir), FIELD_LABELS).where("entry = '(none)'")
+    return free.groupBy("list_name", "raw_value").agg(F.count("*").alias("n_frames")).join(mapped, ["list_name", "raw_value"]).select("list_name", "raw_value", "n_frames")
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_runs, p4_found, p4_survivors, p5_found, p5_unmatched)}
 
 # The printed code that a noisy reading stands for, as a SQL expression over the column c.
 _CODE = r"""
