@@ -125,7 +125,7 @@ def canonical_entries(values: DataFrame, entries: DataFrame, labels: dict[str, t
     by_words = scored.select("list_name", "raw_value", "entry", (F.col("num") / F.sqrt((F.col("found") + F.greatest(strange, F.lit(0))) * F.col("norm"))).alias("score"))
 
     # An entry that its words alone don't carry is compared as a whole too, even where too many characters are lost for a shared variant.
-    weak = by_words.where((F.col("score") >= token_floor) & (F.col("score") < accept)).join(tokens.where("kind = 'whole'"), ["list_name", "raw_value"])
+    weak = by_words.where((F.col("score") >= 0.15) & (F.col("score") < accept)).join(tokens.where("kind = 'whole'"), ["list_name", "raw_value"])
     weak = weak.join(lists.select("list_name", "entry", F.col("whole").alias("t")), ["list_name", "entry"]).select("list_name", "raw_value", "entry", similarity("a", "t").alias("score"))
 
     ranked = by_whole.unionByName(by_words).unionByName(weak).groupBy("list_name", "raw_value", "entry").agg(F.max("score").alias("score")).where(F.col("score") >= accept)

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from tagweave.functions.codes import canonical_code
 from tagweave.llm.canonical import canonical_entries
+from tagweave.llm.leakage import leaks
+from tagweave.llm.packing import fill, pack, token_count
 from tagweave.llm.runs import collapse_runs
 from tagweave.llm.survivors import FieldRule, best_records, field_survivors
 from tagweave.runtime import is_blank, table
@@ -90,7 +92,33 @@ def p5_unmatched(spark: SparkSession, sf_dir: str) -> DataFrame:
     return free.groupBy("list_name", "raw_value").agg(F.count("*").alias("n_frames")).join(mapped, ["list_name", "raw_value"]).select("list_name", "raw_value", "n_frames")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_runs, p4_found, p4_survivors, p5_found, p5_unmatched)}
+def _packed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(table(spark, sf_dir, "documents"), F.col("doc_id"), token_count(F.col("text")))
+
+
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _packed(spark, sf_dir).where("is_split and piece = 1").select("doc_id")
+
+
+def p6_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    by = _packed(spark, sf_dir).groupBy("container").agg(F.sum("piece_tokens").alias("n_tokens"), F.count("*").alias("n_pieces"))
+    return by.withColumn("unused", 1024 - F.col("n_tokens"))
+
+
+def p6_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill(_packed(spark, sf_dir))
+
+
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaks(table(spark, sf_dir, "documents"), F.col("doc_id"), F.col("text"), table(spark, sf_dir, "eval_items"), F.col("item_id"), F.col("text"))
+
+
+def p7_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    leaked = p7_found(spark, sf_dir).groupBy("item_id").agg(F.count("*").alias("n_documents"))
+    return table(spark, sf_dir, "eval_items").select("item_id", "topic").join(leaked, "item_id", "left").select("item_id", "topic", F.coalesce("n_documents", F.lit(0)).alias("n_documents"))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_runs, p4_found, p4_survivors, p5_found, p5_unmatched, p6_found, p6_containers, p6_fill, p7_found, p7_items)}
 
 # The printed code that a noisy reading stands for, as a SQL expression over the column c.
 _CODE = r"""
@@ -102,6 +130,7 @@ pieces AS (SELECT *, [translate(substr(b, 1, 6), 'OQDIL|ZSBG', '0001112586'), tr
 coded AS (SELECT *, array_to_string(list_filter(p, lambda x: x <> ''), '-') || CASE WHEN r NOT IN ('', '0') THEN '/' || r ELSE '' END AS code FROM pieces)"""
 
 ORACLES = {
+    "p6_found": r"SELECT doc_id FROM documents WHERE len(regexp_extract_all(text, '[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s\x{0b}\x{1c}-\x{1f}\x{85}\p{Z}]+')) > 1024",
     "p1_found": rf"""WITH raw AS (SELECT camera_id, frame_id, min(captured_at) AS t, min(label_data.full_order_code) AS c FROM results WHERE camera_id IS NOT NULL AND captured_at IS NOT NULL
   AND NOT regexp_full_match(label_data.full_order_code, '\s*') GROUP BY ALL), {_CODE},
 w AS (SELECT *, CASE WHEN regexp_full_match(code, '\d{{6}}-[A-Z]{{2}}-[A-Z]-\d{{8}}-\d+(/\d+)?') THEN code END AS k FROM coded),
