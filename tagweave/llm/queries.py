@@ -9,6 +9,7 @@ from tagweave.functions.codes import canonical_code
 from tagweave.llm.canonical import canonical_entries
 from tagweave.llm.leakage import leaks
 from tagweave.llm.packing import fill, pack, token_count
+from tagweave.llm.reading import reading_levels
 from tagweave.llm.runs import collapse_runs
 from tagweave.llm.survivors import FieldRule, best_records, field_survivors
 from tagweave.runtime import is_blank, table
@@ -118,7 +119,21 @@ def p7_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "eval_items").select("item_id", "topic").join(leaked, "item_id", "left").select("item_id", "topic", F.coalesce("n_documents", F.lit(0)).alias("n_documents"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_runs, p4_found, p4_survivors, p5_found, p5_unmatched, p6_found, p6_containers, p6_fill, p7_found, p7_items)}
+def _levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = table(spark, sf_dir, "level_labels")
+    return reading_levels(table(spark, sf_dir, "documents"), F.col("doc_id"), F.col("text"), F.col("lang"), labels, F.col("doc_id"), F.col("band"), F.col("rater")).where("is_english and n_words >= 25")
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _levels(spark, sf_dir).select("doc_id", "band")
+
+
+def p8_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    levels = _levels(spark, sf_dir).join(table(spark, sf_dir, "documents").select("doc_id", "source"), "doc_id")
+    return levels.groupBy("source", "band").agg(F.count("*").alias("n_documents"), F.round(F.avg("level"), 2).alias("mean_level"))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_runs, p4_found, p4_survivors, p5_found, p5_unmatched, p6_found, p6_containers, p6_fill, p7_found, p7_items, p8_found, p8_profile)}
 
 # The printed code that a noisy reading stands for, as a SQL expression over the column c.
 _CODE = r"""
