@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from types import ModuleType
 
-from tagweave.queries import quality
+from tagweave.queries import frames, labels, operations, quality
 
 
 def modules() -> list[ModuleType]:
-    return [quality]
+    return [quality, labels, frames, operations]
