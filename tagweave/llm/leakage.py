@@ -23,14 +23,18 @@ def words(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != "")
 
 
-def repeats_for(recall: float, run: int = 3, steps: int = 10, places: int = 2) -> int:
-    """Repetitions after which a passage with ``places`` intact runs of ``run`` words is met with probability ``recall``.
+def repeats_for(recall: float, run: int = 3, steps: int = 10, runs: int = 12, places: int = 3) -> int:
+    """Repetitions after which a passage with ``runs`` intact runs of ``run`` words collides at ``places`` places with probability ``recall``.
 
-    A walk of ``steps`` steps from the start of a run stays within it if it moves on at most ``run - 1`` times in its
-    ``steps - 1`` moves, each a fair coin of its own in every repetition; passages hold many such runs, so this is a floor.
+    A walk of ``steps`` steps from the start of a run stays within it, and takes in three words at least, if of its ``steps - 1``
+    moves, each a fair coin of its own in every repetition, 2 to ``run - 1`` go on; the runs collide independently.
     """
-    stays = sum(math.comb(steps - 1, i) for i in range(run)) / 2 ** (steps - 1)
-    return max(1, math.ceil(math.log(1 - recall) / (places * math.log(1 - stays))))
+    stays = sum(math.comb(steps - 1, i) for i in range(2, run)) / 2 ** (steps - 1)
+    for repeats in range(1, 65):
+        p = 1 - (1 - stays) ** repeats
+        if 1 - sum(math.comb(runs, k) * p**k * (1 - p) ** (runs - k) for k in range(places)) >= recall:
+            return repeats
+    raise ValueError("no number of repetitions up to 64 reaches this recall")
 
 
 def _scramble(x: np.ndarray) -> np.ndarray:
@@ -38,8 +42,9 @@ def _scramble(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
-def _walks(flat: np.ndarray, starts: np.ndarray, repeat: int, steps: int, samples: int) -> np.ndarray:
-    """LSH keys of the CGK walks from ``starts`` in ``flat`` (word hashes, each text closed by a zero word, which no walk passes).
+def _walks(flat: np.ndarray, starts: np.ndarray, repeat: int, steps: int, samples: int) -> tuple[np.ndarray, np.ndarray]:
+    """LSH keys of the CGK walks from ``starts`` in ``flat`` (word hashes, each text closed by a zero word, which no walk passes),
+    and the words that each walk moved on.
 
     At step j the walk puts out the word it stands on and moves to the next word if a random bit of (j, word) says so; one
     edit shifts the walk only until it meets the other text's again, which turns edit distance into Hamming distance. A key is
@@ -55,7 +60,7 @@ def _walks(flat: np.ndarray, starts: np.ndarray, repeat: int, steps: int, sample
             key = _scramble(key ^ (word * odd[j]))
         if j + 1 < steps:
             at += ((_scramble(word ^ odd[j]) >> np.uint64(40)) & np.uint64(1)).astype(np.int64) & (word != 0)
-    return key.view(np.int64)
+    return key.view(np.int64), at - starts
 
 
 def _keyer(id_name: str, repeats: int, steps: int, samples: int, sieve: list | None, grain: int):
@@ -80,8 +85,9 @@ def _keyer(id_name: str, repeats: int, steps: int, samples: int, sieve: list | N
                 flat[starts] = values[skip : skip + len(rank)] | np.uint64(1)
                 for r in range(repeats):
                     for lo in range(0, len(starts), grain):
-                        key = _walks(flat, starts[lo : lo + grain], r, steps, samples)
-                        mine = np.arange(lo, lo + len(key))
+                        key, moved = _walks(flat, starts[lo : lo + grain], r, steps, samples)
+                        mine = lo + np.flatnonzero(moved >= 2)  # walks that took in fewer than three words tell nothing
+                        key = key[mine - lo]
                         if bits is not None:
                             keep = np.ones(len(key), bool)
                             for shift in (0, 32):
@@ -106,31 +112,40 @@ def _sieve(keys: DataFrame) -> list:
     return [keys.sparkSession.sparkContext.broadcast(bits)]
 
 
-def _holds(window: list[str], item: list[str], least_run: int, share: float, spread: float) -> bool:
-    """Whether ``least_run`` consecutive words of the item, or ``share`` of its words in order within ``spread`` times its
-    length, stand in the window."""
-    n = len(item)
-    if n >= least_run:
-        grams = {tuple(item[i : i + least_run]) for i in range(n - least_run + 1)}
-        if any(tuple(window[i : i + least_run]) in grams for i in range(len(window) - least_run + 1)):
-            return True
-    need, reach, at = math.ceil(share * n - 1e-9), max(1, int(spread * n)), {}
-    for i, w in enumerate(item):
-        at[w] = at.get(w, 0) | (1 << i)
-    full = (1 << n) - 1
-    known = [at.get(w, 0) for w in window]
-    if sum(map(bool, known)) < need:
-        return False
-    step = max(1, n // 8)
-    for lo in range(0, max(1, len(window) - reach + step), step):
-        v = full
-        for m in known[lo : lo + reach]:  # bit-parallel longest common subsequence
-            if m:
+class _Item:
+    """An evaluation item ready for comparison with windows of documents."""
+
+    def __init__(self, text: str, least_run: int, share: float, spread: float) -> None:
+        words = text.split(" ")
+        self.n, self.least_run = len(words), least_run
+        self.grams = {tuple(words[i : i + least_run]) for i in range(self.n - least_run + 1)}
+        self.need, self.reach, self.at = math.ceil(share * self.n - 1e-9), max(1, int(spread * self.n)), {}
+        for i, w in enumerate(words):
+            self.at[w] = self.at.get(w, 0) | (1 << i)
+
+    def within(self, window: list[str]) -> bool:
+        """Whether ``least_run`` consecutive words of the item, or ``share`` of its words in order within ``spread`` times its
+        length, stand in the window."""
+        known = [self.at.get(w, 0) for w in window]
+        run = 0
+        for i, m in enumerate(known):
+            run = run + 1 if m else 0
+            if run >= self.least_run and tuple(window[i + 1 - self.least_run : i + 1]) in self.grams:
+                return True
+        if sum(map(bool, known)) < self.need:
+            return False
+        full, step = (1 << self.n) - 1, max(1, self.n // 8)
+        for lo in range(0, max(1, len(window) - self.reach + step), step):
+            part = [m for m in known[lo : lo + self.reach] if m]
+            if len(part) < self.need:
+                continue
+            v = full
+            for m in part:  # bit-parallel longest common subsequence
                 u = v & m
                 v = ((v + u) | (v - u)) & full
-        if n - v.bit_count() >= need:
-            return True
-    return False
+            if self.n - v.bit_count() >= self.need:
+                return True
+        return False
 
 
 def leaks(
@@ -145,6 +160,7 @@ def leaks(
     spread: float = 1.5,
     recall: float = 0.99,
     samples: int = 9,
+    places: int = 3,
     grain: int = 200_000,
 ) -> DataFrame:
     """``doc_id, item_id``: every document with each item it gives away, once.
@@ -152,16 +168,17 @@ def leaks(
     A document gives an item away if it contains ``least_run`` consecutive words of it, or ``share`` of its words in order
     within ``spread`` times its length. Words are lower-case runs of letters and digits.
 
-    Method: from every word of every text a CGK walk of ``least_run`` steps is taken, so a walk never leaves a passage of
-    ``least_run`` equal words and meets it with certainty; ``samples`` of its outputs, drawn anew in each of as many repetitions
-    as ``recall`` asks for, make an LSH key. Documents' keys pass a fixed-size filter of the items' keys and are joined to
-    them; each candidate pair and diagonal is then verified exactly on the window of the document around it.
+    Method: from every word of every text a CGK walk of ``least_run`` steps is taken, which never leaves a passage of
+    ``least_run`` equal words; ``samples`` of its outputs, drawn anew in each of as many repetitions as ``recall`` asks for (of a
+    passage altered at every fourth word, the worst that still counts), make an LSH key. Documents' keys pass a fixed-size
+    filter of the items' keys and are joined to them. A document and an item whose keys collide at ``places`` places about one
+    diagonal are a candidate, verified exactly on the window of the document around it.
 
-    Defined results: null ids and null or empty texts are left out; repeated rows of an id count once as one pair; items with
-    fewer words than ``least_run`` can only be met whole or in part by ``share``; no items or no documents give no rows. Nothing
+    Defined results: null ids and null or empty texts are left out; repeated rows of an id count once as one pair; items of
+    fewer than five words have too few places to be met; no items or no documents give no rows. Nothing
     of the corpus reaches the driver; the items' filter has 2 MB at any size.
     """
-    repeats = repeats_for(recall, run=4, steps=least_run)
+    repeats = repeats_for(recall, steps=least_run, places=places)
     docs = documents.select(doc_id.alias("doc_id"), words(text).alias("w")).where("doc_id is not null and size(w) > 0")
     tests = items.select(item_id.alias("item_id"), words(item_text).alias("w")).where("item_id is not null and size(w) > 0")
     hashed = lambda df, k: df.select(k, F.transform("w", lambda w: F.xxhash64(w)).alias("h"))
@@ -172,22 +189,25 @@ def leaks(
     doc_keys = hashed(docs, "doc_id").mapInArrow(_keyer("doc_id", repeats, least_run, samples, _sieve(item_keys), grain), f"doc_id {id_type(docs, 'doc_id')}, place int, key long")
     sizes = tests.select("item_id", F.size("w").alias("n"))
     met = doc_keys.join(item_keys.withColumnRenamed("place", "item_place").join(sizes, "item_id"), "key")
-    lane = F.greatest(F.lit(1), F.floor(F.col("n") / 4))
-    near = met.select("doc_id", "item_id", "n", F.floor((F.col("place") - F.col("item_place")) / lane).alias("lane")).distinct()
-    near = cut_lineage(near)
+    width = F.greatest(F.lit(1), F.floor(F.col("n") / 4))
+    lane = F.floor((F.col("place") - F.col("item_place")) / width)
+    # Lanes are two widths wide and overlap, so that a passage whose diagonal shifts isn't cut in two.
+    met = met.select("doc_id", "item_id", "n", "place", F.explode(F.array(lane - 1, lane)).alias("lane"))
+    near = met.groupBy("doc_id", "item_id", "n", "lane").agg(F.size(F.collect_set("place")).alias("places")).where(F.col("places") >= places)
+    near = cut_lineage(near.drop("places"))
 
     # A window reaches over the lane's diagonals and the spread on either side of the passage.
-    width = F.greatest(F.lit(1), F.floor(F.col("n") / 4))
     slack = F.ceil(F.col("n") * (spread - 1)).cast("int")
     start = F.greatest(F.lit(0), F.col("lane") * width - slack).cast("int")
-    stop = ((F.col("lane") + 1) * width + F.col("n") + slack).cast("int")
+    stop = ((F.col("lane") + 2) * width + F.col("n") + slack).cast("int")
     wanted = near.groupBy("doc_id").agg(F.collect_set(F.struct("item_id", start.alias("a"), stop.alias("z"))).alias("x"))
     windows = docs.join(wanted, "doc_id").select("doc_id", "w", F.explode("x").alias("x")).where("x.z > x.a")
     windows = windows.select("doc_id", F.col("x.item_id").alias("item_id"), F.array_join(F.slice("w", F.col("x.a") + 1, F.col("x.z") - F.col("x.a")), " ").alias("window"))
 
     @F.pandas_udf(T.BooleanType())
     def verified(window: pd.Series, item: pd.Series) -> pd.Series:
-        return pd.Series([_holds(a.split(" "), b.split(" "), least_run, share, spread) for a, b in zip(window, item)], dtype=bool)
+        known = {t: _Item(t, least_run, share, spread) for t in item.unique()}
+        return pd.Series([known[b].within(a.split(" ")) for a, b in zip(window, item)], dtype=bool)
 
     sure = windows.join(tests.select("item_id", F.array_join("w", " ").alias("item")).distinct(), "item_id").where(verified("window", "item"))
     return sure.select("doc_id", "item_id").distinct()
