@@ -27,14 +27,15 @@ def _words(value: Column, labels: tuple[str, ...]) -> Column:
 
 
 def _without_one(x: Column) -> Column:
-    return F.transform(F.sequence(F.lit(1), F.length(x)), lambda i: F.concat(F.substring(x, 1, i - 1), F.substring(x, i + 1, 99)))
+    return F.transform(F.sequence(F.lit(1), F.length(x)), lambda i: F.concat(F.substring(x, 1, i - 1), F.substring(x, i + 1, 400)))
 
 
 def _variants(token: Column) -> Column:
-    """Hashes of the folded token and of it without any one and (from four characters) any two characters: two tokens within
-    one edit, a swap of neighbours, or two losses always share one."""
-    once = lambda x: F.when(F.length(x) > 1, _without_one(x)).otherwise(F.array().cast("array<string>"))
-    twice = lambda x: F.when(F.length(x) > 3, F.flatten(F.transform(once(x), once))).otherwise(F.array().cast("array<string>"))
+    """Hashes of the folded token and of it without any one and any two characters: two tokens within one edit, a swap of
+    neighbours, or two losses always share one. Two characters are left out of tokens of 4 to 40 characters, one of tokens of 2
+    to 400; longer ones are met as they are, and entries of several words by these."""
+    once = lambda x: F.when(F.length(x).between(2, 400), _without_one(x)).otherwise(F.array().cast("array<string>"))
+    twice = lambda x: F.when(F.length(x).between(4, 40), F.flatten(F.transform(once(x), once))).otherwise(F.array().cast("array<string>"))
     folded = F.translate(token, *_FOLD)
     return F.array_distinct(F.transform(let(folded, lambda x: F.concat(F.array(x), once(x), twice(x))), lambda v: F.xxhash64(v)))
 
@@ -42,7 +43,9 @@ def _variants(token: Column) -> Column:
 def _distance(a: str, b: str, kin: dict[str, int], vowels: frozenset) -> float:
     """Edit distance with neighbour swaps from the read token ``a`` to the entry's ``b``; cheaper are confused characters, a
     character read twice, and a vowel left out."""
-    before, row = [], [float(j) for j in range(len(b) + 1)]
+    before, row = [], [0.0]
+    for y in b:
+        row.append(row[-1] + (0.7 if y in vowels else 1.0))
     for i, x in enumerate(a):
         extra = 0.6 if i and a[i - 1] == x else 1.0
         kx, last, nxt = kin.get(x, -1), i + 1.0, [i + 1.0]
@@ -106,7 +109,10 @@ def canonical_entries(values: DataFrame, entries: DataFrame, labels: dict[str, t
         F.when(F.size("words") > 1, F.struct(F.lit("whole").alias("kind"), F.array_join(F.reverse("words"), "").alias("a"))),
     ))).alias("x")).select("list_name", "raw_value", "n", "x.*")
     tokens = tokens.unionByName(open_.where(F.size("words") > 1).select("list_name", "raw_value", F.size("words").alias("n"), F.lit("word").alias("kind"), F.explode(F.array_distinct("words")).alias("a")))
-    near = tokens.select("list_name", "kind", "a").distinct().select("*", F.explode(_variants(F.col("a"))).alias("h"))
+    # A token that is more than two losses on either side longer than the longest of its list shares no variant with any.
+    longest = vocabulary.groupBy("list_name").agg(F.max(F.length("t")).alias("longest"))
+    short = tokens.select("list_name", "kind", "a").distinct().join(longest, "list_name").where(F.length("a") <= F.col("longest") + 4)
+    near = short.select("list_name", "kind", "a", F.explode(_variants(F.col("a"))).alias("h"))
     near = near.join(vocabulary.select("list_name", "kind", "t", F.explode(_variants(F.col("t"))).alias("h")), ["list_name", "kind", "h"]).select("list_name", "kind", "a", "t").distinct()
     similarity = F.pandas_udf(_similarities, T.DoubleType())
     repaired = cut_lineage(near.withColumn("sim", similarity("a", "t")).where(F.col("sim") >= token_floor))
@@ -126,7 +132,9 @@ def canonical_entries(values: DataFrame, entries: DataFrame, labels: dict[str, t
 
     # An entry that its words alone don't carry is compared as a whole too, even where too many characters are lost for a shared variant.
     weak = by_words.where((F.col("score") >= 0.15) & (F.col("score") < accept)).join(tokens.where("kind = 'whole'"), ["list_name", "raw_value"])
-    weak = weak.join(lists.select("list_name", "entry", F.col("whole").alias("t")), ["list_name", "entry"]).select("list_name", "raw_value", "entry", similarity("a", "t").alias("score"))
+    weak = weak.join(lists.select("list_name", "entry", F.col("whole").alias("t")), ["list_name", "entry"])
+    more = F.abs(F.length("a") - F.length("t")) / F.greatest(F.length("a"), F.length("t"), F.lit(1))
+    weak = weak.where(1 - 0.6 * more >= accept).select("list_name", "raw_value", "entry", similarity("a", "t").alias("score"))
 
     ranked = by_whole.unionByName(by_words).unionByName(weak).groupBy("list_name", "raw_value", "entry").agg(F.max("score").alias("score")).where(F.col("score") >= accept)
     first = ranked.withColumn("rn", F.row_number().over(W.partitionBy("list_name", "raw_value").orderBy(F.desc(F.round("score", 9)), "entry"))).where("rn = 1").drop("rn")

@@ -179,7 +179,8 @@ def leaks(
     of the corpus reaches the driver; the items' filter has 2 MB at any size.
     """
     repeats = repeats_for(recall, steps=least_run, places=places)
-    docs = documents.select(doc_id.alias("doc_id"), words(text).alias("w")).where("doc_id is not null and size(w) > 0")
+    texts = documents.select(doc_id.alias("doc_id"), text.alias("text")).where("doc_id is not null and text is not null")
+    docs = texts.select("doc_id", words(F.col("text")).alias("w"))
     tests = items.select(item_id.alias("item_id"), words(item_text).alias("w")).where("item_id is not null and size(w) > 0")
     hashed = lambda df, k: df.select(k, F.transform("w", lambda w: F.xxhash64(w)).alias("h"))
     id_type = lambda df, k: df.schema[k].dataType.simpleString()
@@ -201,7 +202,8 @@ def leaks(
     start = F.greatest(F.lit(0), F.col("lane") * width - slack).cast("int")
     stop = ((F.col("lane") + 2) * width + F.col("n") + slack).cast("int")
     wanted = near.groupBy("doc_id").agg(F.collect_set(F.struct("item_id", start.alias("a"), stop.alias("z"))).alias("x"))
-    windows = docs.join(wanted, "doc_id").select("doc_id", "w", F.explode("x").alias("x")).where("x.z > x.a")
+    # Texts travel as they are and are cut into words only where they have candidates.
+    windows = texts.join(wanted, "doc_id").select("doc_id", words(F.col("text")).alias("w"), "x").select("doc_id", "w", F.explode("x").alias("x")).where("x.z > x.a")
     windows = windows.select("doc_id", F.col("x.item_id").alias("item_id"), F.array_join(F.slice("w", F.col("x.a") + 1, F.col("x.z") - F.col("x.a")), " ").alias("window"))
 
     @F.pandas_udf(T.BooleanType())

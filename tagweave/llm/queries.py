@@ -15,9 +15,14 @@ from tagweave.llm.survivors import FieldRule, best_records, field_survivors
 from tagweave.runtime import is_blank, table
 
 
+def _coded(rows: DataFrame, *columns: str) -> DataFrame:
+    """``columns`` with ``value`` and ``complete`` of the canonical code; a generator, so that the code is worked out once a row."""
+    return rows.select(*columns, F.inline(F.array(canonical_code(F.col("label_data.full_order_code")))))
+
+
 def _runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    frames = table(spark, sf_dir, "results").withColumn("__code", canonical_code(F.col("label_data.full_order_code")))
-    return collapse_runs(frames, F.col("camera_id"), F.col("frame_id"), F.col("captured_at"), F.col("__code.value"), F.col("__code.complete"))
+    frames = _coded(table(spark, sf_dir, "results"), "camera_id", "frame_id", "captured_at")
+    return collapse_runs(frames, F.col("camera_id"), F.col("frame_id"), F.col("captured_at"), F.col("value"), F.col("complete"))
 
 
 def p1_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -29,7 +34,7 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "label_records").withColumn("__code", canonical_code(F.col("label_data.full_order_code")).value)
+    return _coded(table(spark, sf_dir, "label_records"), "record_id", "backend", "processed_at", "label_data").withColumnRenamed("value", "__code")
 
 
 def _trust(key: str) -> tuple:

@@ -132,15 +132,15 @@ def _gather(texts: DataFrame, width: int, slots: int, add: Callable[[pa.RecordBa
 
 
 def _add_words(of: Callable[[pa.RecordBatch], np.ndarray], piece: int) -> Callable[[pa.RecordBatch, np.ndarray], None]:
-    """Adds each document's row of ``of`` to the slots of its words."""
+    """Adds each document's row of ``of`` to the slots of its words, once a document, so that one long text counts as one."""
 
     def add(batch: pa.RecordBatch, table: np.ndarray) -> None:
         weight = of(batch)
         words, seg, seg_doc, _ = _unpack(batch, piece)
         if len(words):
-            doc = seg_doc[seg]
+            doc, word = np.divmod(np.unique(seg_doc[seg].astype(np.int64) * len(table) + words), len(table))
             for k in range(table.shape[1]):
-                table[:, k] += np.bincount(words, weight[doc, k], minlength=len(table))
+                table[:, k] += np.bincount(word, weight[doc, k], minlength=len(table))
 
     return add
 
