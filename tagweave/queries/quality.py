@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tagweave.operators import profile as P
 from tagweave.operators.reconcile import Field, close_to, reconcile
-from tagweave.runtime import table
+from tagweave.runtime import cut_lineage, table
 
 # The usual forms, told on masks.
 FORMS = {
@@ -20,7 +20,8 @@ FORMS = {
 
 def _counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     cols = {c: F.col(f"label_data.{c}") for c in FORMS}
-    return P.value_counts(table(spark, sf_dir, "results"), F.col("load_id"), cols, {"date_code": P.code_date(cols["date_code"])}, F.col("captured_at"))
+    # The counts are far fewer than the rows and are read several times, so they are written once instead of counted again.
+    return cut_lineage(P.value_counts(table(spark, sf_dir, "results"), F.col("load_id"), cols, {"date_code": P.code_date(cols["date_code"])}, F.col("captured_at")))
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
