@@ -61,7 +61,6 @@ def fuzzy_match(texts: DataFrame, text: str, entries: DataFrame, min_score: floa
         pairs = t.crossJoin(e)
     scored = pairs.withColumn("score", combined_similarity(F.col("__t"), F.col("__e"))).where(F.col("score") > min_score)
     best = scored.groupBy("__raw").agg(F.max_by("entry", F.struct("score", -F.col("ord"))).alias("match"), F.max("score").alias("score"))
-    some = entries.limit(1).select(F.lit(True).alias("__any"))
-    out = texts.join(best, texts[text] == best["__raw"], "left").join(F.broadcast(some), F.lit(True), "left")
-    none = folded(F.col(text)).isNull() | (folded(F.col(text)) == "") | F.col("__any").isNull()
-    return out.withColumns({"match": F.coalesce("match", F.lit("")), "score": F.coalesce("score", F.when(none, 0.0).otherwise(min_score))}).drop("__raw", "__any")
+    out = texts.join(best, texts[text] == best["__raw"], "left")
+    none = folded(F.col(text)).isNull() | (folded(F.col(text)) == "") | (entries.agg(F.count("*")).scalar() == 0)
+    return out.withColumns({"match": F.coalesce("match", F.lit("")), "score": F.coalesce("score", F.when(none, 0.0).otherwise(min_score))}).drop("__raw")
