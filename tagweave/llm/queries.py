@@ -34,31 +34,32 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _coded(table(spark, sf_dir, "label_records"), "record_id", "backend", "processed_at", "label_data").withColumnRenamed("value", "__code")
+    label = F.col("label_data")
+    fields = [label[c].alias(c) for c in ("date_code", "product_code", "size", "color", "is_valid", "field_confidences")]
+    return table(spark, sf_dir, "label_records").select("record_id", "backend", "processed_at", *fields, canonical_code(label.full_order_code).value.alias("value"))
 
 
 def _trust(key: str) -> tuple:
-    return (F.coalesce(F.col("label_data.is_valid"), F.lit(False)), F.col("label_data.field_confidences")[key], F.col("processed_at"))
+    return (F.coalesce(F.col("is_valid"), F.lit(False)), F.col("field_confidences")[key], F.col("processed_at"))
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = {
-        "product": FieldRule(F.col("label_data.product_code"), _trust("productCode")),
-        "size": FieldRule(F.col("label_data.size"), _trust("size")),
+        "product": FieldRule(F.col("product_code"), _trust("productCode")),
+        "size": FieldRule(F.col("size"), _trust("size")),
     }
-    found = field_survivors(_labels(spark, sf_dir), F.col("__code"), F.col("record_id"), rules)
+    found = field_survivors(_labels(spark, sf_dir), F.col("value"), F.col("record_id"), rules)
     return found.select(F.col("group_key").alias("full_order_code"), "product_record_id", "size_record_id")
 
 
 def p4_survivors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    label = F.col("label_data")
     best = best_records(
         _labels(spark, sf_dir),
-        F.col("__code"),
+        F.col("value"),
         F.col("record_id"),
-        [label.date_code, label.product_code, label["size"], label.color],
-        (F.coalesce(label.is_valid, F.lit(False)), F.col("processed_at")),
-        {"backend": F.col("backend"), "product_code": label.product_code, "size": label["size"], "color": label.color},
+        [F.col(c) for c in ("date_code", "product_code", "size", "color")],
+        (F.coalesce(F.col("is_valid"), F.lit(False)), F.col("processed_at")),
+        {c: F.col(c) for c in ("backend", "product_code", "size", "color")},
     )
     return best.withColumnRenamed("group_key", "full_order_code")
 

@@ -27,27 +27,45 @@ def _top(rows: DataFrame, ranks: list[str]) -> DataFrame:
     return rows.withColumn("__rn", F.row_number().over(W.partitionBy("__g").orderBy(*order))).where("__rn = 1")
 
 
-def field_survivors(records: DataFrame, group: Column, record_id: Column, rules: dict[str, FieldRule], least_records: int = 2) -> DataFrame:
+def field_survivors(records: DataFrame, group: Column, record_id: Column, rules: dict[str, FieldRule], least_records: int = 2, salts: int = 32) -> DataFrame:
     """One row per group with at least ``least_records`` (1 or 2) different record ids: ``group_key``, and per rule
     ``<field>_record_id`` and ``<field>_value`` of the record from which the field survives (null if all are blank).
 
     Method: per field, a window ordering by the rule's ranks with the greatest record id as the last word, keeping the top row.
+    All fields are ranked over one scan and one shuffle. Ranking is done twice: within ``salts`` parts of each group, keeping the
+    top row of each field, then over what is left of the group, so a group with a third of all rows is no single task.
 
     Defined results: records with a null group or id are left out; exact repeats of a record count once; blank means null, empty
     or white space only; no records give no rows; other columns of ``records`` play no part.
     """
     if least_records not in (1, 2):
         raise ValueError("least_records must be 1 or 2")
-    base = records.where(group.isNotNull() & record_id.isNotNull())
-    parts = [base.groupBy(group.alias("__g")).agg(F.min(record_id).alias("__lo"), F.max(record_id).alias("__hi"))]
-    for name, rule in rules.items():
-        ranks = [f"__r{i}" for i in range(len(rule.ranks))]
-        rows = base.where(~is_blank(rule.value)).select(group.alias("__g"), record_id.alias("__id"), rule.value.alias("__value"), *[r.alias(n) for r, n in zip(rule.ranks, ranks)])
-        parts.append(_top(rows, ranks).select("__g", F.col("__id").alias(f"{name}_record_id"), F.col("__value").alias(f"{name}_value")))
-    out = parts[0] if least_records == 1 else parts[0].where("__lo < __hi")
-    for part in parts[1:]:
-        out = out.join(part, "__g", "left")
-    return out.select(F.col("__g").alias("group_key"), *[c for n in rules for c in (f"{n}_record_id", f"{n}_value")])
+    ranks = {str(r): r for rule in rules.values() for r in rule.ranks}
+    names = {text: f"__r{i}" for i, text in enumerate(ranks)}
+    rows = records.select(
+        group.alias("__g"),
+        record_id.alias("__id"),
+        *[F.when(~is_blank(rule.value), rule.value).alias(f"__v_{n}") for n, rule in rules.items()],
+        *[r.alias(names[text]) for text, r in ranks.items()],
+    ).where("__g is not null and __id is not null")
+    rows = rows.withColumns({"__lo": F.col("__id"), "__hi": F.col("__id"), "__s": F.pmod(F.xxhash64("__id"), F.lit(salts))})
+
+    def topped(rows: DataFrame, *parts: str) -> DataFrame:
+        """The rows that are first for some field in their part, with the part's least and greatest id."""
+        order = {n: [F.col(f"__v_{n}").isNull(), *[F.desc_nulls_last(names[str(r)]) for r in rule.ranks], F.desc("__id")] for n, rule in rules.items()}
+        at = {f"__n_{n}": F.row_number().over(W.partitionBy(*parts).orderBy(*o)) for n, o in order.items()}
+        whole = W.partitionBy(*parts)
+        ranked = rows.withColumns({**at, "__lo": F.min("__lo").over(whole), "__hi": F.max("__hi").over(whole)})
+        first = F.lit(False)
+        for n in at:
+            first = first | (F.col(n) == 1)
+        return ranked.where(first) if rules else ranked
+
+    left = topped(topped(rows, "__g", "__s"), "__g")
+    picked = [F.max(F.when((F.col(f"__n_{n}") == 1) & F.col(f"__v_{n}").isNotNull(), F.struct(F.col("__id"), F.col(f"__v_{n}").alias("v")))).alias(f"__p_{n}") for n in rules]
+    out = left.groupBy("__g").agg(F.min("__lo").alias("__lo"), F.max("__hi").alias("__hi"), *picked)
+    out = out if least_records == 1 else out.where("__lo < __hi")
+    return out.select(F.col("__g").alias("group_key"), *[c for n in rules for c in (F.col(f"__p_{n}.__id").alias(f"{n}_record_id"), F.col(f"__p_{n}.v").alias(f"{n}_value"))])
 
 
 def best_records(records: DataFrame, group: Column, record_id: Column, fields: list[Column], ranks: tuple[Column, ...], keep: dict[str, Column]) -> DataFrame:
