@@ -90,12 +90,13 @@ def canonical_entries(values: DataFrame, entries: DataFrame, labels: dict[str, t
 
     lists = entries.where(~is_blank(F.col("entry")) & name.isNotNull()).select("list_name", "entry").distinct()
     lists = lists.withColumn("words", _words(F.col("entry"), ())).withColumn("whole", whole)
+    lists = cut_lineage(lists)  # read by every step below
     posted = lists.select("list_name", "entry", F.explode(F.array_distinct("words")).alias("t"))
     sizes = lists.groupBy("list_name").agg(F.count("*").alias("size"))
     idf = posted.groupBy("list_name", "t").agg(F.count("*").alias("df")).join(sizes, "list_name").select("list_name", "t", F.log(1 + F.col("size") / F.col("df")).alias("idf"))
     posted = posted.join(idf, ["list_name", "t"])
     norms = posted.groupBy("list_name", "entry").agg(F.sum(F.col("idf") * F.col("idf")).alias("norm"), F.count("*").alias("n_words"))
-    posted = posted.join(norms.where("n_words > 1"), ["list_name", "entry"])
+    posted = cut_lineage(posted.join(norms.where("n_words > 1"), ["list_name", "entry"]))
     vocabulary = lists.select("list_name", F.lit("whole").alias("kind"), F.col("whole").alias("t")).unionByName(posted.select("list_name", F.lit("word").alias("kind"), "t")).where("t <> ''").distinct()
 
     base = values.where(~is_blank(F.col("raw_value")) & name.isNotNull()).select("list_name", "raw_value").distinct()
