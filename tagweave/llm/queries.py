@@ -12,7 +12,7 @@ from tagweave.llm.packing import fill, pack, token_count
 from tagweave.llm.reading import reading_levels
 from tagweave.llm.runs import collapse_runs
 from tagweave.llm.survivors import FieldRule, best_records, field_survivors
-from tagweave.runtime import is_blank, table
+from tagweave.runtime import cut_lineage, is_blank, table
 
 
 def _coded(rows: DataFrame, *columns: str) -> DataFrame:
@@ -84,7 +84,9 @@ def _free_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     fields = F.array(*[F.struct(F.lit(n).alias("list_name"), c.alias("raw_value")) for n, c in (("product", label.product_code), ("size", label["size"]), ("color", label.color))])
     results = table(spark, sf_dir, "results").select("frame_id", F.explode(fields).alias("x")).select("frame_id", "x.*")
     both = read.unionByName(results).where(~is_blank(F.col("raw_value")) & F.col("frame_id").isNotNull())
-    return both.join(_lists(spark, sf_dir).withColumnRenamed("entry", "raw_value"), ["list_name", "raw_value"], "left_anti").select("frame_id", "list_name", "raw_value").distinct()
+    free = both.join(_lists(spark, sf_dir).withColumnRenamed("entry", "raw_value"), ["list_name", "raw_value"], "left_anti")
+    # A small part of the rows, read twice: for its distinct values, and to give each frame its entry.
+    return cut_lineage(free.select("frame_id", "list_name", "raw_value").distinct())
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
