@@ -100,3 +100,13 @@ def fit_scale(width: Column, height: Column, view_width: int, view_height: int)
 def frames_a_second(ms: Column) -> Column:
     """``1000 / ms`` to two places, 0 for none or no time."""
     return F.when(ms > 0, F.round(1000 / ms, 2)).otherwise(F.lit(0.0))
+
+
+def capture_name(ts: Column) -> Column:
+    """File name of a capture on demand: ``capture_YYYYMMDD_HHMMSS_ffffff.png``."""
+    return F.concat(F.lit("capture_"), F.date_format(ts, "yyyyMMdd_HHmmss_SSSSSS"), F.lit(".png"))
+
+
+def input_image_name(frame: Column, mode: Column) -> Column:
+    """File name of a code reader's input: frame and mode, ``raw`` without a preprocessor (a null mode)."""
+    return F.concat(frame, F.lit("_"), F.coalesce(mode, F.lit("raw")), F.lit(".png"))

@@ -328,3 +328,97 @@ def png_encode(image: np.ndarray, level: int = 3) -> bytes:
     chunk = lambda kind, data: struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
     head = struct.pack(">IIBBBBB", image.shape[1], image.shape[0], 8, 0 if image.ndim == 2 else 2, 0, 0, 0)
     return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", head) + chunk(b"IDAT", zlib.compress(raw, level)) + chunk(b"IEND", b"")
+
+
+def prepare_for_code(image: np.ndarray | None, enabled: bool = True, mode: str = "full", target: int = 640) -> tuple[np.ndarray | None, float]:
+    """Image for a code reader and its scale factor, which belongs to this image alone: scaled (``minimal``), or scaled and
+    denoised (``full`` and every other mode); unchanged with factor 1 if switched off or empty."""
+    if not enabled or image is None or image.size == 0:
+        return image, 1.0
+    scaled, f = scale_for_code(image, target)
+    return (scaled if mode == "minimal" else median3(scaled)), f
+
+
+def fix_orientation(image: np.ndarray, classify, threshold: float = 0.6, width: int = 1000) -> tuple[np.ndarray, bool]:
+    """Image turned by 180 degrees if ``classify`` (of a copy at most ``width`` wide) gives a label naming 180 with a score above the
+    threshold; quarter turns are left alone."""
+    view = image
+    if image.shape[1] > width:
+        view = resize(image, width, max(1, int(image.shape[0] * width / image.shape[1])), "area")
+    label, score = classify(view)
+    turn = "180" in str(label) and score > threshold
+    return (np.ascontiguousarray(image[::-1, ::-1]) if turn else image), turn
+
+
+def preprocess(image: np.ndarray | None, points: np.ndarray | None, force_landscape: bool = True, classify=None, threshold: float = 0.6) -> tuple[np.ndarray | None, str]:
+    """The cropped, upright label and the messages of the steps, joined by `` | ``; None where a step fails."""
+    if image is None or image.size == 0:
+        return None, "No image"
+    out, said = crop_rotated(image, points)
+    steps = [said]
+    if out is None:
+        return None, said
+    if force_landscape:
+        turned = landscape(out)
+        steps.append("Rotated to landscape" if turned is not out else "Already landscape")
+        out = turned
+    if classify is not None:
+        out, half = fix_orientation(out, classify, threshold)
+        steps.append("Rotated 180" if half else "Orientation kept")
+    return out, " | ".join(steps)
+
+
+def prepare_frame(image: np.ndarray, flip: bool = False, most: int = 1280) -> np.ndarray:
+    """A video frame, mirrored on request and brought to at most ``most`` pixels a side."""
+    out = image[:, ::-1] if flip else image
+    if (side := max(out.shape[:2])) > most:
+        out = resize(out, max(1, int(out.shape[1] * most / side)), max(1, int(out.shape[0] * most / side)), "area")
+    return np.ascontiguousarray(out)
+
+
+# Means and deviations of the channels that the public text detectors were trained with.
+_MEAN, _DEVIATION = np.array([0.485, 0.456, 0.406]), np.array([0.229, 0.224, 0.225])
+
+
+def detection_tensor(image: np.ndarray, size: int) -> np.ndarray:
+    """Input of a text detector: square, channels first, normalised by channel, a batch of one."""
+    x = resize(colour(image), size, size).astype(np.float64) / 255
+    return ((x - _MEAN) / _DEVIATION).transpose(2, 0, 1)[None].astype(np.float32)
+
+
+def recognition_tensor(image: np.ndarray, max_ratio: float, height: int = 48) -> np.ndarray:
+    """Input of a text recogniser: ``height`` high, as wide as its aspect asks for up to 32 times ``max_ratio``, to [-1, 1], zero to
+    the right."""
+    x = colour(image)
+    most = max(1, int(32 * max_ratio))
+    width = min(most, int(np.ceil(height * x.shape[1] / x.shape[0])))
+    out = np.zeros((3, height, most), np.float32)
+    out[:, :, :width] = resize(x, width, height).astype(np.float32).transpose(2, 0, 1) / 127.5 - 1
+    return out
+
+
+def text_boxes(scores: np.ndarray, threshold: float = 0.3, least: int = 3) -> list[np.ndarray]:
+    """Corners of the least rectangles around the parts of a score map above the threshold, without those under ``least`` pixels a side."""
+    out = []
+    for c in outer_contours(scores > threshold):
+        box = ordered(least_rectangle(c))
+        if min(np.hypot(*(box[1] - box[0])), np.hypot(*(box[3] - box[0]))) >= least:
+            out.append(box)
+    return out
+
+
+def overlay(image: np.ndarray, mask: np.ndarray, bgr: tuple[int, int, int], opacity: float = 0.4) -> np.ndarray:
+    """Image with a colour laid over the mask."""
+    out = colour(image).astype(np.float64)
+    on = mask > 0
+    out[on] = (1 - opacity) * out[on] + opacity * np.array(bgr, float)
+    return _byte(out)
+
+
+def outline(image: np.ndarray, box: tuple[int, int, int, int], bgr: tuple[int, int, int], thickness: int = 2) -> np.ndarray:
+    """Image with a box drawn inside its bounds, clipped."""
+    out = colour(image).copy()
+    x1, y1, x2, y2 = (int(v) for v in box)
+    for ys, xs in ((slice(y1, y1 + thickness), slice(x1, x2)), (slice(y2 - thickness, y2), slice(x1, x2)), (slice(y1, y2), slice(x1, x1 + thickness)), (slice(y1, y2), slice(x2 - thickness, x2))):
+        out[max(0, ys.start) : max(0, ys.stop), max(0, xs.start) : max(0, xs.stop)] = bgr
+    return out

@@ -66,3 +66,19 @@ def with_model(rows: DataFrame, build: Callable[[], Callable[[pd.DataFrame], pd.
 def by_shape(rows: DataFrame, width: Column, height: Column, tasks: int) -> DataFrame:
     """Rows spread over ``tasks`` tasks and sorted in each by aspect ratio, so that a model's micro-batches hold like shapes."""
     return rows.repartition(tasks).sortWithinPartitions(width / F.nullif(height, F.lit(0)))
+
+
+def in_micro_batches(model: Callable[[list[np.ndarray]], list], size: int = 6) -> Callable[[list[np.ndarray]], list]:
+    """``model`` over lists of any length: images are sorted by aspect ratio, given in lists of ``size``, and the results put back in
+    the order of the images."""
+
+    def run(images: list[np.ndarray]) -> list:
+        order = sorted(range(len(images)), key=lambda i: images[i].shape[1] / max(1, images[i].shape[0]))
+        out: list = [None] * len(images)
+        for lo in range(0, len(order), size):
+            part = order[lo : lo + size]
+            for i, result in zip(part, model([images[i] for i in part])):
+                out[i] = result
+        return out
+
+    return run

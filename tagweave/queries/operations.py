@@ -11,6 +11,7 @@ from tagweave.operators import metrics as M
 from tagweave.operators.cooldown import cooldown_samples
 from tagweave.plans.pipeline import STAGE_ERRORS, reached_stage
 from tagweave.runtime import is_blank, table
+from tagweave.sources.sinks import stage_record
 
 
 def _frames(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -102,6 +103,18 @@ def b7_frame_timing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "results").select("frame_id", F.round(ms, 4).alias("total_ms"), P.frames_a_second(F.round(ms, 4)).alias("fps"))
 
 
+def b4_detection_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = table(spark, sf_dir, "detections_edge").select("frame_id", "det_no", "class_name", "bbox", "has_mask").distinct()
+    one = F.struct("det_no", F.col("class_name").alias("className"), "bbox", F.col("has_mask").alias("hasMask"))
+    frames = d.groupBy("frame_id").agg(F.sort_array(F.collect_list(one)).alias("x"))
+    found = F.transform("x", lambda v: F.struct(v["className"].alias("className"), v["bbox"].alias("bbox"), v["hasMask"].alias("hasMask")))
+    return frames.select("frame_id", stage_record("s2", F.col("frame_id"), numDetections=F.size("x"), detections=found).alias("record"))
+
+
+def b11_capture_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "events").select("event_id", P.capture_name(F.col("ts")).alias("name"))
+
+
 def e30_stage_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").groupBy(P.stage_key(F.col("event_type")).alias("stage")).agg(F.count("*").alias("n"))
 
@@ -120,7 +133,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         c9_stage_errors, c10_code_errors, d1_batch_summary, d3_stage_averages, d5_backend_latency, d6_backend_comparison, d7_error_triage, j4_error_files, d11_batch_status, d12_accuracy_table,
-        w5_rolling_rate, t2_cooldown, t7_timed_frames, b7_frame_timing, e30_stage_keys, w7_first_documents, w10_union_distinct,
+        w5_rolling_rate, t2_cooldown, t7_timed_frames, b7_frame_timing, b4_detection_records, b11_capture_names, e30_stage_keys, w7_first_documents, w10_union_distinct,
     )
 }
 
@@ -156,6 +169,9 @@ k AS (SELECT camera_id, x, list_reduce(list_transform(x, lambda v: {{'last': v.t
 SELECT camera_id, s.kept[i] AS frame_id, s.done[i] AS completed FROM k, unnest(range(1, len(s.kept) + 1)) AS t(i)""",
     "t7_timed_frames": f"WITH {_F} SELECT camera_id, count(*) AS n_timed FROM g GROUP BY 1",
     "b7_frame_timing": "SELECT frame_id, round(coalesce(processing_time_ms, 0), 4) AS total_ms, CASE WHEN round(coalesce(processing_time_ms, 0), 4) > 0 THEN round(1000 / round(processing_time_ms, 4), 2) ELSE 0 END AS fps FROM results",
+    "b4_detection_records": """WITH d AS (SELECT DISTINCT frame_id, det_no, class_name, bbox, has_mask FROM detections_edge)
+SELECT frame_id, to_json({'frameId': frame_id, 'numDetections': count(*), 'detections': list({'className': class_name, 'bbox': bbox, 'hasMask': has_mask} ORDER BY det_no, class_name NULLS FIRST, bbox NULLS FIRST, has_mask NULLS FIRST)})::VARCHAR AS record FROM d GROUP BY 1""",
+    "b11_capture_names": "SELECT event_id, strftime(ts, 'capture_%Y%m%d_%H%M%S_%f.png') AS name FROM events",
     "e30_stage_keys": "SELECT upper(split_part(event_type, '_', 1)) AS stage, count(*) AS n FROM events GROUP BY 1",
     "w7_first_documents": "SELECT doc_id, source FROM documents ORDER BY source NULLS FIRST, doc_id LIMIT 100",
     "w10_union_distinct": "SELECT lower(trim(frame_id)) AS frame_id FROM detections_edge UNION SELECT lower(trim(frame_id)) FROM detections_hub UNION SELECT lower(trim(frame_id)) FROM ocr_blocks",

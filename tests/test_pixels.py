@@ -149,3 +149,45 @@ def test_registries():
         assert "one" in str(e)
     else:
         raise AssertionError
+
+
+def test_code_and_orientation_steps():
+    image = board(40, 320)
+    assert X.prepare_for_code(image, False)[1] == 1.0 and X.prepare_for_code(None) == (None, 1.0)
+    minimal, full, unknown = (X.prepare_for_code(image, True, m, 640)[0] for m in ("minimal", "full", "other"))
+    assert minimal.shape == (80, 640) and (full == unknown).all()
+    seen = []
+    flip = lambda v: seen.append(v.shape) or ("180_degree", 0.9)
+    out, turned = X.fix_orientation(board(20, 2000), flip)
+    assert turned and seen == [(10, 1000)] and (out == board(20, 2000)[::-1, ::-1]).all()
+    assert not X.fix_orientation(image, lambda v: ("90_degree", 0.99))[1] and not X.fix_orientation(image, lambda v: ("180", 0.6))[1]
+    box = np.array([[2, 2], [12, 2], [12, 32], [2, 32]])
+    out, said = X.preprocess(board(40, 60), box, classify=lambda v: ("0", 1.0))
+    assert out.shape[1] > out.shape[0] and said == "Success: 10x30 | Rotated to landscape | Orientation kept"
+    assert X.preprocess(None, box) == (None, "No image") and X.preprocess(board(), None)[0] is None
+
+
+def test_text_model_kernels():
+    assert X.detection_tensor(board(), 16).shape == (1, 3, 16, 16)
+    t = X.recognition_tensor(np.full((24, 48), 255, np.uint8), 10)
+    assert t.shape == (3, 48, 320) and (t[:, :, :96] == 1).all() and (t[:, :, 96:] == 0).all()
+    scores = np.zeros((20, 30))
+    scores[3:10, 4:20], scores[15, 2] = 0.9, 0.9
+    boxes = X.text_boxes(scores)
+    assert len(boxes) == 1 and boxes[0].tolist() == [[4, 3], [19, 3], [19, 9], [4, 9]]
+    assert X.prepare_frame(board(640, 2560)).shape == (320, 1280) and (X.prepare_frame(board(), True) == board()[:, ::-1]).all()
+
+
+def test_drawing():
+    mask = np.zeros((4, 4), np.uint8)
+    mask[0, 0] = 1
+    assert X.overlay(np.zeros((4, 4), np.uint8), mask, (100, 200, 50), 0.5)[0, 0].tolist() == [50, 100, 25]
+    drawn = X.outline(np.zeros((9, 9), np.uint8), (-3, 2, 7, 8), (1, 1, 1), 1)
+    assert drawn[2, 0:7].all() and drawn[7, 0:7].all() and not drawn[4, 2].any() and drawn[4, 6].all()
+
+
+def test_micro_batches_keep_order():
+    sizes = []
+    model = I.in_micro_batches(lambda xs: sizes.append(len(xs)) or [x.shape[1] for x in xs], 6)
+    images = [np.zeros((10, w), np.uint8) for w in (50, 3, 20, 7, 90, 1, 2, 8)]
+    assert model(images) == [50, 3, 20, 7, 90, 1, 2, 8] and sizes == [6, 2] and model([]) == []
