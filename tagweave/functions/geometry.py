@@ -7,6 +7,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tagweave.runtime import let
+
 
 def _xs(polygon: Column) -> Column:
     return F.transform(polygon, lambda p: p[0])
@@ -48,13 +50,18 @@ def area(polygon: Column) -> Column:
 
 def ordered_corners(polygon: Column) -> Column:
     """Corners by angle about their centroid, turned so that the one with the least ``x + y`` comes first."""
-    mean = lambda a: F.aggregate(a, F.lit(0.0), lambda s, v: s + v) / F.size(a)
-    cx, cy = mean(_xs(polygon)), mean(_ys(polygon))
-    angled = F.array_sort(F.transform(polygon, lambda p, i: F.struct(F.atan2(p[1] - cy, p[0] - cx).alias("a"), i.alias("i"), p.alias("p"))))
-    ring = F.transform(angled, lambda c: c["p"])
-    sums = F.transform(ring, lambda p: p[0] + p[1])
-    first = F.array_position(sums, F.array_min(sums)).cast("int")
-    return F.when(F.size(polygon) > 0, F.concat(F.slice(ring, first, F.size(ring)), F.slice(ring, F.lit(1), first - 1)))
+    total = lambda p: F.aggregate(p, F.struct(F.lit(0.0).alias("x"), F.lit(0.0).alias("y")), lambda s, q: F.struct((s["x"] + q[0]).alias("x"), (s["y"] + q[1]).alias("y")))
+
+    def ring(centre: Column) -> Column:
+        n = F.size(polygon)
+        angle = lambda p, i: F.struct(F.atan2(p[1] - centre["y"] / n, p[0] - centre["x"] / n).alias("a"), i.alias("i"), p.alias("p"))
+        return F.transform(F.array_sort(F.transform(polygon, angle)), lambda c: c["p"])
+
+    def turned(corners: Column) -> Column:
+        least = F.array_min(F.transform(corners, lambda p, i: F.struct((p[0] + p[1]).alias("s"), i.alias("i"))))
+        return let(least["i"], lambda first: F.concat(F.slice(corners, first + 1, F.size(corners)), F.slice(corners, F.lit(1), first)))
+
+    return F.when(F.size(polygon) > 0, let(let(total(polygon), ring), turned))
 
 
 def largest(polygons: Column) -> Column:

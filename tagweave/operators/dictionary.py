@@ -37,28 +37,29 @@ def _tokens(text: Column) -> Column:
     return F.reverse(F.array_sort(numbered))
 
 
-def fuzzy_match(texts: DataFrame, text: str, entries: DataFrame, min_score: float = 0.9, blocking: bool = True) -> DataFrame:
+def fuzzy_match(texts: DataFrame, text: str, entries: DataFrame, min_score: float = 0.9) -> DataFrame:
     """``texts`` (distinct rows of one column) with ``match`` and ``score``: the entry with the highest combined similarity
-    **above** ``min_score``; the first entry (by ``ord``) wins a tie; no winner gives ``''`` and ``min_score``, an empty text or an
-    empty dictionary ``''`` and 0.
+    **above** ``min_score`` (0 or more); the first entry (by ``ord``) wins a tie; no winner gives ``''`` and ``min_score``, an empty
+    text or an empty dictionary ``''`` and 0.
 
     Candidates come from an equality join, not a cross join: a pair scoring above ``min_score`` shares so many characters
-    that the rarest few of each must meet (prefix filter). The needed overlap follows from the formulas, so nothing is lost;
-    ``blocking=False`` compares every pair, for tests.
+    that the rarest few of each must meet (prefix filter). The needed overlap follows from the formulas, so nothing is lost.
     """
     t = texts.select(F.col(text).alias("__raw")).distinct().withColumn("__t", folded(F.col("__raw"))).where("__t <> ''")
     e = entries.select("entry", "ord", folded(F.col("entry")).alias("__e"))
-    if blocking and min_score > 0.6:
-        jaro = (min_score - 0.4) / 0.6
-        share = min(3 * jaro - 2, min_score)  # least overlap as a share of the longer text, at the least feasible length of the other
-        prefix = lambda c: F.slice(_tokens(c), 1, (F.length(c) - F.ceil(F.length(c) * F.lit(max(share, 0.0))) + 1).cast("int"))
-        left = t.select("__raw", "__t", F.explode(prefix(F.col("__t"))).alias("__k"))
-        right = e.select("entry", "ord", "__e", F.explode(prefix(F.col("__e"))).alias("__k"))
-        ratio = max(3 * jaro - 2, 0.0)
-        near = (F.least(F.length("__t"), F.length("__e")) >= F.greatest(F.length("__t"), F.length("__e")) * F.lit(ratio) - 1e-9)
-        pairs = left.join(right, "__k").where(near).select("__raw", "__t", "entry", "ord", "__e").distinct()
-    else:
-        pairs = t.crossJoin(e)
+    # Jaro is at least (score - 0.4) / 0.6, and at most (m / a + m / b + 1) / 3 for m shared characters of lengths a and b; an edit
+    # similarity above the score shares that part of the longer text. From the shorter text's least share of the longer one's
+    # length follows how many of the rarest characters must hold a shared one; each pair is kept at its first.
+    jaro = (min_score - 0.4) / 0.6
+    share = max(0.0, min(3 * jaro - 2, min_score))
+    kept = lambda c: F.slice(c, 1, (F.size(c) - F.ceil(F.size(c) * F.lit(share)) + 1).cast("int"))
+    left = t.withColumn("__ta", _tokens(F.col("__t"))).withColumn("__pa", kept(F.col("__ta"))).withColumn("__k", F.explode("__pa"))
+    right = e.withColumn("__tb", _tokens(F.col("__e"))).withColumn("__pb", kept(F.col("__tb"))).withColumn("__k", F.explode("__pb"))
+    a, b = F.size("__ta"), F.size("__tb")
+    needed = F.least(max(0.0, 3 * jaro - 1) * a * b / (a + b), min_score * F.greatest(a, b)) - 1e-9
+    first = F.get(F.array_intersect("__pa", "__pb"), F.lit(0)) == F.col("__k")
+    near = (F.least(a, b) >= F.greatest(a, b) * F.lit(share) - 1e-9) & first & (F.size(F.array_intersect("__ta", "__tb")) >= needed)
+    pairs = left.join(right, "__k").where(near).select("__raw", "__t", "entry", "ord", "__e")
     scored = pairs.withColumn("score", combined_similarity(F.col("__t"), F.col("__e"))).where(F.col("score") > min_score)
     best = scored.groupBy("__raw").agg(F.max_by("entry", F.struct("score", -F.col("ord"))).alias("match"), F.max("score").alias("score"))
     out = texts.join(best, texts[text] == best["__raw"], "left")

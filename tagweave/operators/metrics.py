@@ -48,9 +48,10 @@ def latency_stats(rows: DataFrame, by: list[str], ms: str) -> DataFrame:
 
 def compare_backends(stats: DataFrame, backend: str, base: str, other: str) -> DataFrame:
     """One row: both backends' means side by side, their difference, the gain of ``other`` over ``base`` in percent of ``base``, and
-    which is faster (``base`` on a tie). One-row tables only, so the join is of one row with one."""
-    one = lambda name, as_: stats.where(F.col(backend) == name).select(F.col("mean_ms").alias(as_), F.col("n").alias(f"{as_}_n"))
-    both = one(base, "base_ms").join(one(other, "other_ms"), F.lit(True))
+    which is faster (``base`` on a tie); no row if a backend has no statistics."""
+    of = lambda name, c: F.max(F.when(F.col(backend) == name, F.col(c)))
+    both = stats.agg(of(base, "mean_ms").alias("base_ms"), of(other, "mean_ms").alias("other_ms"), of(base, "n").alias("base_ms_n"), of(other, "n").alias("other_ms_n"))
+    both = both.where("base_ms is not null and other_ms is not null")
     gain = F.when(F.col("base_ms") > 0, (F.col("base_ms") - F.col("other_ms")) / F.col("base_ms") * 100).otherwise(0.0)
     return both.select(
         F.lit(base).alias("base"), F.lit(other).alias("other"), "base_ms", "other_ms", "base_ms_n", "other_ms_n", F.abs(F.col("base_ms") - F.col("other_ms")).alias("difference_ms"), gain.alias("gain_percent"),

@@ -90,8 +90,9 @@ def d8_largest_polygon(spark: SparkSession, sf_dir: str) -> DataFrame:
 def w11_ordered_corners(spark: SparkSession, sf_dir: str) -> DataFrame:
     # The corners turned by one place, so that there is an order to restore.
     turned = F.concat(F.slice("bbox", 3, 2), F.slice("bbox", 1, 2))
-    c = G.ordered_corners(turned)
-    return _polygons(spark, sf_dir).where("size(bbox) = 4").select("block_id", *[c[i][j].alias(f"{n}{i + 1}") for i in range(4) for j, n in enumerate("xy")])
+    c = F.col("c")
+    corners = _polygons(spark, sf_dir).where("size(bbox) = 4").select("block_id", G.ordered_corners(turned).alias("c"))
+    return corners.select("block_id", *[c[i][j].alias(f"{n}{i + 1}") for i in range(4) for j, n in enumerate("xy")])
 
 
 def e20_scale(spark: SparkSession, sf_dir: str) -> DataFrame:

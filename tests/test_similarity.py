@@ -39,9 +39,24 @@ def test_edit_similarity(spark):
 def test_blocking_loses_nothing(spark):
     texts = spark.createDataFrame([(a,) for a, _ in pairs(150)] + [("",), (" ab ",)], "t string").distinct()
     entries = load_entries(spark.createDataFrame([(b,) for _, b in pairs(150)], "e string"), "e", True)
-    for score in (0.7, 0.8, 0.9):
-        got, want = (sorted(map(tuple, fuzzy_match(texts, "t", entries, score, blocking=b).select("t", "match", F.round("score", 9)).collect())) for b in (True, False))
-        assert got == want
+    words = [r.entry for r in entries.orderBy("ord").collect()]
+
+    def edits(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            prev, row[0] = row[0], i
+            for j, y in enumerate(b, 1):
+                prev, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, prev + (x != y))
+        return 1 - row[-1] / max(len(a), len(b))
+
+    for least in (0.3, 0.7, 0.8, 0.9):
+        for r in fuzzy_match(texts, "t", entries, least).collect():
+            t, best, score = r.t.strip().upper(), "", least
+            for w in words if t else ():
+                s = max(edits(t, w), S.jaro_winkler_score(t, w))
+                if s > score:
+                    best, score = w, s
+            assert (r.match, round(r.score, 9)) == (best, round(score if t else 0.0, 9))
 
 
 def test_fuzzy_results_without_winner(spark):
