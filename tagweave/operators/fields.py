@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tagweave.functions import patterns as P
 from tagweave.operators.dictionary import exact_match, fuzzy_match
-from tagweave.runtime import let
+from tagweave.runtime import cut_lineage, let
 
 _TRIM = r"^\s+|\s+$"
 _FIELDS = ("product", "size", "color")
@@ -38,7 +38,7 @@ def block_matches(blocks: DataFrame, text: str, dictionaries: dict[str, DataFram
     A text must have the field's usual form; an exact entry scores 1, else the best fuzzy entry above ``min_score`` counts. Done
     once for each distinct text, whatever the number of blocks.
     """
-    distinct = blocks.select(F.col(text).alias("raw")).where("raw is not null").distinct()
+    distinct = cut_lineage(blocks.select(F.col(text).alias("raw")).where("raw is not null").distinct())  # read for every field
     t = F.regexp_replace("raw", _TRIM, "")
     forms = {"product": P.is_product(t), "size": P.is_size(F.upper(t)), "color": P.is_color(F.upper(t))}
     out = distinct
