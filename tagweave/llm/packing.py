@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 from bisect import bisect_left, insort
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -23,6 +24,27 @@ def token_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(TOKEN)), F.lit(0)).cast("bigint")
 
 
+def tokenizer_count(spark: SparkSession, path: str) -> Callable[[Column], Column]:
+    """A column function that counts the tokens of a public tokenizer, a JSON file of the ``tokenizers`` library at ``path``.
+
+    The driver reads the file and broadcasts it (its size is the file's, whatever the corpus); each task builds the tokenizer
+    once. Special tokens in a text count as ordinary text; null counts 0.
+    """
+    with open(path, encoding="utf-8") as f:
+        model = spark.sparkContext.broadcast(f.read())
+
+    @F.pandas_udf(T.LongType())
+    def count(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        from tokenizers import Tokenizer
+
+        tokenizer = Tokenizer.from_str(model.value)
+        tokenizer.encode_special_tokens = True
+        for texts in batches:
+            yield pd.Series([len(e.ids) for e in tokenizer.encode_batch(texts.fillna("").tolist(), add_special_tokens=False)], dtype="int64")
+
+    return count
+
+
 @dataclass
 class _Group:
     """``n`` containers filled alike: ``takes`` lists (length, items of it in each container)."""

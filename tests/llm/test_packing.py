@@ -1,3 +1,4 @@
+import os
 import random
 import re
 
@@ -6,7 +7,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from tagweave.llm.packing import fill, pack, plan, token_count
+from tagweave.llm.packing import fill, pack, plan, token_count, tokenizer_count
 
 
 @settings(max_examples=150, deadline=None)
@@ -80,3 +81,15 @@ def test_pack_of_one_length_and_of_nothing(spark):
     out = packed(spark, [(i, 40) for i in range(1000)], 100)
     assert out.select("container").distinct().count() == 500
     assert packed(spark, [], 100).count() == 0 and fill(packed(spark, [], 100), 100).first().n_containers == 0
+
+
+def test_tokens_of_a_public_tokenizer(spark):
+    path = "/opt/tokenizers/byte_bpe_50k.json"
+    tokenizers = pytest.importorskip("tokenizers")
+    if not os.path.exists(path):
+        pytest.skip("no tokenizer files here")
+    texts = ["Scan the label.", "", None, "<|endoftext|>", "naïve 日本"]
+    own = tokenizers.Tokenizer.from_file(path)
+    own.encode_special_tokens = True
+    got = [r[0] for r in spark.createDataFrame([(t,) for t in texts], "t string").select(tokenizer_count(spark, path)(F.col("t"))).collect()]
+    assert got == [len(own.encode(t or "", add_special_tokens=False).ids) for t in texts] and got[3] > 1
