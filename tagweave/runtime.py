@@ -35,7 +35,7 @@ def micros(col: Column) -> Column:
 def checkpoint_dir(spark: SparkSession) -> str:
     """The cluster's shared checkpoint folder (``spark.checkpoint.dir``); only where that is unset, a folder of our own (local tests)."""
     sc = spark.sparkContext
-    configured = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
+    configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not configured:
         configured = os.path.join(tempfile.gettempdir(), f"tagweave-checkpoint-{os.getpid()}")
     if sc.getCheckpointDir() is None:
