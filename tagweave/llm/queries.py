@@ -152,17 +152,26 @@ pieces AS (SELECT *, [translate(substr(b, 1, 6), 'OQDIL|ZSBG', '0001112586'), tr
     translate(substr(b, 10, 8), 'OQDIL|ZSBG', '0001112586'), translate(substr(b, 18), 'OQDIL|ZSBG', '0001112586')] AS p FROM halves),
 coded AS (SELECT *, array_to_string(list_filter(p, lambda x: x <> ''), '-') || CASE WHEN r NOT IN ('', '0') THEN '/' || r ELSE '' END AS code FROM pieces)"""
 
-ORACLES = {
-    "p6_found": r"SELECT doc_id FROM documents WHERE len(regexp_extract_all(text, '[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s\x{0b}\x{1c}-\x{1f}\x{85}\p{Z}]+')) > 1024",
-    "p1_found": rf"""WITH raw AS (SELECT camera_id, frame_id, min(captured_at) AS t, min(label_data.full_order_code) AS c FROM results WHERE camera_id IS NOT NULL AND captured_at IS NOT NULL
+_RUNS = rf"""WITH raw AS (SELECT camera_id, frame_id, min(captured_at) AS t, min(label_data.full_order_code) AS c FROM results WHERE camera_id IS NOT NULL AND captured_at IS NOT NULL
   AND NOT regexp_full_match(label_data.full_order_code, '\s*') GROUP BY ALL), {_CODE},
 w AS (SELECT *, CASE WHEN regexp_full_match(code, '\d{{6}}-[A-Z]{{2}}-[A-Z]-\d{{8}}-\d+(/\d+)?') THEN code END AS k FROM coded),
 x AS (SELECT *, coalesce(k, CASE WHEN a = z AND starts_with(a, code) THEN a END, code) AS v FROM (
   SELECT *, last_value(k IGNORE NULLS) OVER (PARTITION BY camera_id ORDER BY t, frame_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS a,
     first_value(k IGNORE NULLS) OVER (PARTITION BY camera_id ORDER BY t, frame_id ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS z FROM w)),
 y AS (SELECT *, CASE WHEN v IS DISTINCT FROM lag(v) OVER q OR t - lag(t) OVER q > INTERVAL 60 SECOND THEN 1 ELSE 0 END AS s FROM x WINDOW q AS (PARTITION BY camera_id ORDER BY t, frame_id)),
-g AS (SELECT *, sum(s) OVER (PARTITION BY camera_id ORDER BY t, frame_id) AS run FROM y)
+g AS (SELECT *, sum(s) OVER (PARTITION BY camera_id ORDER BY t, frame_id) AS run FROM y)"""
+
+ORACLES = {
+    "p6_found": r"SELECT doc_id FROM documents WHERE len(regexp_extract_all(text, '[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s\x{0b}\x{1c}-\x{1f}\x{85}\p{Z}]+')) > 1024",
+    "p1_found": rf"""{_RUNS}
 SELECT arg_min(frame_id, (t, frame_id)) AS first_frame_id, arg_max(frame_id, (t, frame_id)) AS last_frame_id FROM g GROUP BY camera_id, run HAVING count(*) > 1""",
+    "p1_runs": rf"""{_RUNS}
+SELECT camera_id, any_value(v) AS full_order_code, arg_min(frame_id, (t, frame_id)) AS first_frame_id, arg_max(frame_id, (t, frame_id)) AS last_frame_id, min(t) AS first_ts, max(t) AS last_ts, count(*) AS n_events,
+  (epoch_us(max(t)) - epoch_us(min(t))) / 1e6 AS duration_s FROM g GROUP BY camera_id, run""",
+    "p4_survivors": rf"""WITH raw AS (SELECT *, label_data.full_order_code AS c FROM label_records), {_CODE},
+f AS (SELECT *, (coalesce(trim(label_data.date_code), '') <> '')::INT + (coalesce(trim(label_data.product_code), '') <> '')::INT + (coalesce(trim(label_data.size), '') <> '')::INT + (coalesce(trim(label_data.color), '') <> '')::INT AS n_filled FROM coded)
+SELECT code AS full_order_code, record_id, n_filled, backend, label_data.product_code AS product_code, label_data.size AS size, label_data.color AS color FROM f
+QUALIFY row_number() OVER (PARTITION BY code ORDER BY n_filled DESC, coalesce(label_data.is_valid, false) DESC, processed_at DESC NULLS LAST, record_id DESC) = 1""",
     "p4_found": rf"""WITH raw AS (SELECT *, label_data.full_order_code AS c FROM label_records), {_CODE},
 n AS (SELECT code FROM coded GROUP BY 1 HAVING count(DISTINCT record_id) > 1),
 p AS (SELECT code, record_id FROM coded WHERE trim(label_data.product_code) <> '' QUALIFY row_number() OVER (PARTITION BY code ORDER BY coalesce(label_data.is_valid, false) DESC,
