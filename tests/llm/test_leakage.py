@@ -95,3 +95,23 @@ def test_exact_comparison():
     words = "a b c d e f g h i j k l".split()
     assert item.within(["x", *words[1:11]]) and not item.within(words[:5] + words[8:]) is (len(words[:5] + words[8:]) < 9)
     assert not item.within(words[::-1]) and not item.within([])
+
+
+def test_stray_words_between_short_runs_are_found(spark):
+    rng = random.Random(8)
+    items = [text(rng, 44 + 4 * k) for k in range(8)]
+    docs, want = [], set()
+    for n in range(24):
+        e, kind = items[n % 8], n // 8
+        if kind == 0:  # a stray word after every second word
+            part = [x for i, w in enumerate(e) for x in ([w, f"stray{i}"] if i % 2 else [w])]
+        else:  # every fourth word lost (and one more, which is too many), and a stray word after every second one that is left
+            part = [x for i, w in enumerate([w for i, w in enumerate(e) if i % 4 != 3][kind - 1 :]) for x in ([w, f"stray{i}"] if i % 2 else [w])]
+        docs.append((n, " ".join([f"before{i}" for i in range(rng.randint(0, 60))] + part)))
+        want |= {(n, n % 8)} if kind < 2 else set()
+        assert brute(docs[-1][1], " ".join(e)) is (kind < 2)
+    assert found(spark, docs, [(k, " ".join(e)) for k, e in enumerate(items)]) == want
+
+
+def test_short_items_are_found(spark):
+    assert found(spark, [(1, "now two strange words"), (2, "two words")], [(1, "two words"), (2, "alone")]) == {(1, 1), (2, 1)}
