@@ -22,7 +22,7 @@ def _coded(rows: DataFrame, *columns: str) -> DataFrame:
 
 def _runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     frames = _coded(table(spark, sf_dir, "results"), "camera_id", "frame_id", "captured_at")
-    return collapse_runs(frames, F.col("camera_id"), F.col("frame_id"), F.col("captured_at"), F.col("value"), F.col("complete"))
+    return collapse_runs(frames, F.col("camera_id"), F.col("frame_id"), F.col("captured_at"), F.col("value"), F.col("complete"), shape_only=True)
 
 
 def p1_runs(spark: SparkSession, sf_dir: str) -> DataFrame:

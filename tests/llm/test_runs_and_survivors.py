@@ -4,6 +4,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from tagweave.functions.codes import canonical_code
 from tagweave.llm.runs import collapse_runs
 from tagweave.llm.survivors import FieldRule, best_records, field_survivors
 
@@ -70,6 +71,50 @@ def test_runs_equal_a_loop_whatever_the_buckets(spark, seed, bucket):
     assert collapsed(spark, rows, bucket_s=bucket) == brute(rows)
 
 
+def with_lost_ends(rows, gap=60.0):
+    """The rows with every complete-looking reading that lost its end mended, by looping."""
+    own = {}
+    for r in rows:
+        if r[0] and r[1] and r[2] and r[3] is not None and ((r[0], r[1]) not in own or (r[2], not r[4], r[3]) < (own[r[0], r[1]][2], not own[r[0], r[1]][4], own[r[0], r[1]][3])):
+            own[r[0], r[1]] = r
+    out = []
+    for cam in {c for c, _ in own}:
+        seq = sorted((r for r in own.values() if r[0] == cam), key=lambda r: (r[2], r[1]))
+        for k, r in enumerate(seq):
+            p = next((j for j in range(k - 1, -1, -1) if seq[j][4]), None)
+            n = next((j for j in range(k + 1, len(seq)) if seq[j][4]), None)
+            v = r[3]
+            if r[4] and p is not None and n is not None and seq[p][3] == seq[n][3] != v and seq[n][3].startswith(v):
+                if all((seq[j + 1][2] - seq[j][2]).total_seconds() <= gap for j in range(p, n)):
+                    v = seq[n][3]
+            out.append((*r[:3], v, *r[4:]))
+    return out
+
+
+@pytest.mark.parametrize("seed, bucket", [(1, 10), (2, 60), (3, 600), (4, 3600), (5, 10**7)])
+def test_readings_that_lost_a_revision_are_mended(spark, seed, bucket):
+    rng = random.Random(seed)
+    rows, t, label = [], T0, "C-2/1"
+    for k in range(600):
+        t += dt.timedelta(seconds=rng.choice([0, 1, 5, 20, 40, 60, 61, 4000] if rng.random() < 0.3 else [0, 1, 2]))
+        if rng.random() < 0.05:
+            label = rng.choice(["C-2/1", "C-2/12", "C-2", "C-21"])
+        cut = rng.choice([label, label, label, label, label[:3], label[:-1], label[:2], None])
+        rows.append((rng.choice("aab"), f"f{k:04d}", t, cut, cut is None or len(cut) > 2, None, None, None, None))
+    rows += rows[:25]
+    mended = with_lost_ends(rows)
+    assert sorted((r[0], r[1], r[3]) for r in mended) != sorted({(r[0], r[1], r[3]) for r in rows if r[3]})
+    assert collapsed(spark, rows, bucket_s=bucket, shape_only=True) == brute(mended)
+
+
+def test_a_lost_revision_in_a_stretch_of_codes(spark):
+    read = ["122218-LK-R-00002589-2/1", "122218-LK-R-00002589-2", "122218-LK-R-000", "122218-LK-R-00002589-2/1"]
+    rows = [(f"f{k}", T0 + dt.timedelta(seconds=40 * k), v) for k, v in enumerate(read)]
+    df = spark.createDataFrame(rows, "f string, t timestamp_ntz, c string").select("f", "t", F.inline(F.array(canonical_code(F.col("c")))))
+    out = collapse_runs(df, F.lit("cam"), F.col("f"), F.col("t"), F.col("value"), F.col("complete"), shape_only=True).collect()
+    assert [(r.value, r.first_id, r.last_id, r.n_events) for r in out] == [(read[0], "f0", "f3", 4)]
+
+
 def test_runs_of_nothing_and_of_one(spark):
     assert collapsed(spark, []) == []
     one = [("a", "f", T0, "X", True, None, None, None, None)]
