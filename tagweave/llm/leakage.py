@@ -143,11 +143,12 @@ class _Item:
                 return True
         if sum(map(bool, known)) < self.need:
             return False
-        full, step = (1 << self.n) - 1, max(1, self.n // 8)
-        for lo in range(0, max(1, len(window) - self.reach + step), step):
-            part = [m for m in known[lo : lo + self.reach] if m]
-            if len(part) < self.need:
+        full, at = (1 << self.n) - 1, [i for i, m in enumerate(known) if m]
+        for first in range(len(at) - self.need + 1):  # a window that starts at no known word holds no more than the next that does
+            lo = at[first]
+            if at[first + self.need - 1] - lo >= self.reach:
                 continue
+            part = [m for m in known[lo : lo + self.reach] if m]
             v = full
             for m in part:  # bit-parallel longest common subsequence
                 u = v & m

@@ -115,3 +115,16 @@ def test_stray_words_between_short_runs_are_found(spark):
 
 def test_short_items_are_found(spark):
     assert found(spark, [(1, "now two strange words"), (2, "two words")], [(1, "two words"), (2, "alone")]) == {(1, 1), (2, 1)}
+
+
+def test_passages_of_the_greatest_spread_are_found_at_any_offset(spark):
+    rng = random.Random(9)
+    e = text(rng, 64)
+    spread = [x for i, w in enumerate(e[:48]) for x in (w, f"stray{i}")][:-1]  # 48 of 64 words within 95 of 96
+    item = _Item(" ".join(e), 10, 0.75, 1.5)
+    for before in range(10):
+        assert item.within([f"before{i}" for i in range(before)] + spread + ["after"] * 40)
+    wider = spread[:50] + ["x", "y"] + spread[50:]
+    assert not item.within(["before"] * 3 + wider + ["after"] * 40)
+    docs = [(n, " ".join([f"before{i}" for i in range(n)] + spread + ["after"] * 40)) for n in range(10)] + [(99, " ".join(wider))]
+    assert found(spark, docs, [(1, " ".join(e))]) == {(n, 1) for n in range(10)}
