@@ -84,6 +84,15 @@ def j2_fuzzy_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("text", "match", F.round("score", 6).alias("score"))
 
 
+def j2_fuzzy_match_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text of any zone against all three dictionaries."""
+    texts, out = table(spark, sf_dir, "ocr_blocks").where("text is not null").select("text").distinct(), None
+    for name, entries in _dictionaries(spark, sf_dir).items():
+        found = fuzzy_match(texts, "text", entries, 0.9).select("text", F.lit(name).alias("list"), "match", F.round("score", 6).alias("score"))
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
 def _positions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row a frame: the code's position, 0 where the code can't be read."""
     return _codes(spark, sf_dir).groupBy("frame_id").agg(F.coalesce(F.max("qr.position"), F.lit(0)).alias("qr_position"))
@@ -147,7 +156,7 @@ def a11_config_get(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        e1_code_parse, e1_code_parse_unstripped, d1_facility_counts, c12_validity, c11_patterns, a8_dictionary, j1_exact_membership, e4_similarities, j2_fuzzy_match, e7_position_quantity,
+        e1_code_parse, e1_code_parse_unstripped, d1_facility_counts, c12_validity, c11_patterns, a8_dictionary, j1_exact_membership, e4_similarities, j2_fuzzy_match, j2_fuzzy_match_all, e7_position_quantity,
         e9_field_assignment, w4_blocks_top_down, j3_code_with_texts, j6_zipped_texts, e29_display, a4_frame_ids, a7_path_ids, a11_config_get,
     )
 }

@@ -73,3 +73,25 @@ def test_exact_match_prefers_capitals(spark):
     texts = spark.createDataFrame([("ab1",), (" cd ",), ("x",), (None,)], "t string")
     got = {r.t: r.match for r in exact_match(texts, "t", entries, keep_case=True).collect()}
     assert got == {"ab1": "AB1", " cd ": "cd", "x": None, None: None}
+
+
+def test_every_text_is_matched_against_all_three_dictionaries(spark, tmp_path):
+    from tagweave.queries.labels import QUERIES
+
+    lists = {"products": ("code", ["TR35182", "H0763AB", "Long12345"]), "sizes": ("name", ["L-TALL-LONG", "xl", "M"]), "colors": ("name", ["DARK HEATHER", "Black", "MOSSY OAK"])}
+    for name, (column, entries) in lists.items():
+        spark.createDataFrame([(e,) for e in entries], f"{column} string").write.parquet(f"{tmp_path}/{name}.parquet")
+    texts = [("TR35182", "product"), ("TR3518Z", None), ("DARK HEATHR", "color"), ("dark heathre", "other"), ("L-TALL-LNG", "size"), ("XL", None), ("black", "product"), ("", "other"), (None, "color"), ("LONG12345", "size")]
+    spark.createDataFrame(texts, "text string, zone string").write.parquet(f"{tmp_path}/ocr_blocks.parquet")
+    want = set()
+    for name, (_, entries) in zip(("product", "size", "color"), lists.values()):
+        kept = sorted({e if name == "product" else e.upper() for e in entries})
+        pairs = [(t, e) for t in {t for t, _ in texts if t is not None} for e in kept]
+        df = spark.createDataFrame(pairs, "t string, e string")
+        scores = df.select("t", "e", S.combined_similarity(S.folded(F.col("t")), S.folded(F.col("e"))).alias("s")).collect()
+        for t in {r.t for r in scores}:
+            top = min((-r.s, r.e) for r in scores if r.t == t)
+            want.add((t, name, top[1], round(-top[0], 6)) if t and -top[0] > 0.9 else (t, name, "", 0.9 if t else 0.0))
+    got = [tuple(r) for r in QUERIES["j2_fuzzy_match_all"](spark, str(tmp_path)).select("text", "list", "match", "score").collect()]
+    assert len(got) == len(want) == 27 and set(got) == want
+    assert {(r[0], r[2]) for r in got if r[2]} >= {("TR35182", "TR35182"), ("dark heathre", "DARK HEATHER"), ("XL", "XL"), ("black", "BLACK")}
