@@ -20,6 +20,22 @@ def class_name(class_id: Column, names: list[str]) -> Column:
     return F.coalesce(F.get(F.array(*[F.lit(n) for n in names]), class_id), F.lit("unknown"))
 
 
+def first_code(results: Column, reader: str) -> Column:
+    """The text of the reader's result that counts, of an array of ``STRUCT<text STRING, valid BOOLEAN>``; null if none does.
+
+    ``zxing``: the first valid result, even with an empty text. ``wechat``: the first result with a text, but none at all if the
+    very first has none. ``pyzbar``: the very first result, whatever it holds.
+    """
+    first = F.get(results, F.lit(0))
+    with_text = lambda r: F.coalesce(r["text"], F.lit("")) != ""
+    chosen = {
+        "zxing": F.get(F.filter(results, lambda r: F.coalesce(r["valid"], F.lit(False))), F.lit(0)),
+        "wechat": F.when(with_text(first), F.get(F.filter(results, with_text), F.lit(0))),
+        "pyzbar": first,
+    }
+    return chosen[reader]["text"]
+
+
 def passes_confidence(confidence: Column, threshold: float) -> Column:
     """The candidate filter and the suppression kernel's own together: strictly above the threshold."""
     return F.coalesce(confidence > threshold, F.lit(False))

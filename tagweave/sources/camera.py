@@ -53,15 +53,20 @@ class _Reader(SimpleDataSourceStreamReader):
 
     def __init__(self, options: dict) -> None:
         self.open = lambda: DEVICES[options.get("device", "pattern")](int(options.get("index", 0)), int(options.get("width", 640)), int(options.get("height", 640)))
+        self.skip, self.pause, self.next = int(options.get("skip_first_frames", 0)), 1 / float(options["fps"]) if float(options.get("fps", 0)) > 0 else 0.0, 0.0
         self.camera = None
 
     def initialOffset(self) -> dict:
         return {"n": 0}
 
     def read(self, start: dict) -> tuple[Iterator[tuple], dict]:
-        began = time.perf_counter()
         if self.camera is None:
             self.camera = self.open()
+            for _ in range(self.skip):
+                self.camera.read()
+        time.sleep(max(0.0, self.next - time.perf_counter()))
+        began = time.perf_counter()
+        self.next = began + self.pause
         at, image = datetime.now(timezone.utc), self.camera.read()
         ms = (time.perf_counter() - began) * 1000
         ok = image is not None
@@ -78,7 +83,7 @@ class _Reader(SimpleDataSourceStreamReader):
 
 class CameraSource(DataSource):
     """``spark.dataSource.register(CameraSource)``, then ``spark.readStream.format("label_camera")`` with the options ``device``,
-    ``index``, ``width`` and ``height``."""
+    ``index``, ``width``, ``height``, ``fps`` (frames a second at most; 0, the default, for no limit) and ``skip_first_frames``."""
 
     @classmethod
     def name(cls) -> str:

@@ -105,3 +105,18 @@ def test_patterns(spark):
     assert one(P.or_dashes(F.lit(0))) == "--" and one(P.or_dashes(F.lit("M"))) == "M" and one(P.order_display(F.lit("M"), F.lit(""))) == "--"
     assert one(P.stage_key(F.lit("s3_preprocessing"))) == "S3" and one(P.detection_label(F.lit("label"), F.lit(0.9))) == "label: 0.90"
     assert tuple(one(P.fit_scale(F.lit(460), F.lit(100), 230, 100))) == (0.5, 230, 50) and one(P.frames_a_second(F.lit(0.0))) == 0.0
+
+
+def test_first_code_by_the_rules_of_each_reader(spark):
+    cases = [  # results, zxing, wechat, pyzbar
+        ([("A", True), ("B", True)], "A", "A", "A"),
+        ([("A", False), ("B", True)], "B", "A", "A"),
+        ([("", True), ("B", True)], "", None, ""),
+        ([(None, None), ("B", True)], "B", None, None),
+        ([("A", None), ("B", False)], None, "A", "A"),
+        ([], None, None, None),
+        (None, None, None, None),
+    ]
+    df = spark.createDataFrame([(i, c[0]) for i, c in enumerate(cases)], "i int, r array<struct<text string, valid boolean>>")
+    got = {row[0]: tuple(row)[1:] for row in df.select("i", *[D.first_code(F.col("r"), k) for k in ("zxing", "wechat", "pyzbar")]).collect()}
+    assert got == {i: c[1:] for i, c in enumerate(cases)}

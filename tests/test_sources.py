@@ -111,3 +111,16 @@ def test_contract(spark, name):
     else:
         q, o = e.queries(), e.oracle_sql()
         assert len(q) > 60 and set(o) <= set(q) and {"p2_found", "p3_found"} <= set(q)
+
+
+def test_camera_skips_its_first_frames_and_keeps_the_target_rate():
+    import time
+
+    from tagweave.sources.camera import _Reader
+
+    plain, slow = _Reader({"width": "4", "height": "4"}), _Reader({"width": "4", "height": "4", "fps": "20", "skip_first_frames": "3"})
+    first = lambda reader: next(reader.read({"n": 0})[0])[5][0]
+    assert [first(plain), first(plain)] == [1, 2]
+    began = time.perf_counter()
+    assert [first(slow) for _ in range(5)] == [4, 5, 6, 7, 8]
+    assert time.perf_counter() - began >= 4 / 20
