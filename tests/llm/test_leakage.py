@@ -4,7 +4,7 @@ import re
 import numpy as np
 from pyspark.sql import functions as F
 
-from tagweave.llm.leakage import _Item, _walks, leaks, repeats_for
+from tagweave.llm.leakage import Block, _flat, _walks, collision_rate, leaks, least_collisions, least_in_run, search
 
 DOCS, ITEMS = "doc_id bigint, text string, item_id int, w string, place int", "item_id bigint, text string, doc_id string, n int, key int"
 WORDS = [f"word{i}" for i in range(400)]
@@ -81,20 +81,65 @@ def test_nothing_leaks_from_nothing(spark):
     assert found(spark, [(1, "a b c d e f g h i j k l")], []) == set()
 
 
-def test_walks_stay_within_ten_words_and_repeats_reach_the_recall():
+def hashes(rng, n):
+    return rng.integers(1, 2**62, n).astype(np.uint64) | np.uint64(1)
+
+
+def test_walks_of_equal_runs_collide_and_stay_within_their_text():
     rng = np.random.default_rng(1)
-    a = np.concatenate([rng.integers(1, 2**62, 10), [0]]).astype(np.uint64)
-    b = np.concatenate([rng.integers(1, 2**62, 3).astype(np.uint64), a[:10], rng.integers(1, 2**62, 5).astype(np.uint64), [np.uint64(0)]]).astype(np.uint64)
-    for r in range(20):
-        assert _walks(a, np.array([0]), r, 10, 9)[0] == _walks(b, np.array([3]), r, 10, 9)[0]
-    assert repeats_for(0.9) <= repeats_for(0.99) <= repeats_for(0.999)
+    a, b = hashes(rng, 10), hashes(rng, 10)
+    flat, starts, text, place = _flat(np.concatenate([a, b[:3], a]), np.array([10, 13]))
+    keys, moved = zip(*(_walks(flat, starts, r) for r in range(30)))
+    keys, moved = np.array(keys), np.array(moved)
+    assert (keys[:, :7] == keys[:, 13:20]).all() and (moved[:, :7] == moved[:, 13:20]).all()
+    assert not moved[:, 9].any() and not moved[:, -1].any() and 0.8 < moved[:, :7].mean() < 0.95
+
+
+def worst(n):
+    """Passages of three quarters of n words within 1.5 n, as places in the item, -1 for a strange word."""
+    left = [i for i in range(n) if i % 4 != 3]
+    yield [x for i in left for x in [i] + [-1] * (2 - i % 4)]
+    yield [x for i in left for x in (i, -1)]
+    yield [x for k, i in enumerate(left) for x in [i] + [-1, -1] * (k % 2)]
+    yield [x for i in range(3 * n // 4) for x in (i, -1)]
+    yield [x for k, i in enumerate(range(3 * n // 4)) for x in [i] + [-1] * (k % 2)]
+    yield [i if i % 4 != 3 else -1 for i in range(n)]
+
+
+def test_recall_of_the_worst_passages():
+    rng = np.random.default_rng(4)
+    for n in (12, 24, 44, 60, 76, 100):
+        for shape in [*worst(n), range(n // 2 - 5, n // 2 + 5)]:
+            found = 0
+            for _ in range(2):
+                items = [hashes(rng, n) for _ in range(100)]
+                passages = [np.where(np.array(list(shape)) < 0, hashes(rng, len(shape)), e[np.array(list(shape))]) for e in items]
+                texts = [np.concatenate([hashes(rng, rng.integers(0, 40)), p, hashes(rng, rng.integers(0, 40))]) for p in passages]
+                text, item = search(Block(list(range(100)), items, 4, 10, 0.75, 1.5, 0.998), np.concatenate(texts), np.array([len(t) for t in texts]))
+                assert (text == item).all()
+                found += len(text)
+            assert found >= 198, (n, list(shape), found)
+
+
+def test_least_collisions_follow_the_recall():
+    assert 0.08 < collision_rate(0.75, 1.5) < 0.09 and collision_rate(0.75, 1.0) > collision_rate(0.75, 1.5)
+    assert least_collisions(60, 4, 0.75, 1.5, 0.999) <= least_collisions(60, 4, 0.75, 1.5, 0.9) <= least_collisions(90, 4, 0.75, 1.5, 0.9)
+    assert least_collisions(4, 4, 0.75, 1.5, 0.99) == 0 and 15 < least_in_run(10, 4, 0.9999) < 29
 
 
 def test_exact_comparison():
-    item = _Item("a b c d e f g h i j k l", 10, 0.75, 1.5)
-    words = "a b c d e f g h i j k l".split()
-    assert item.within(["x", *words[1:11]]) and not item.within(words[:5] + words[8:]) is (len(words[:5] + words[8:]) < 9)
-    assert not item.within(words[::-1]) and not item.within([])
+    rng = np.random.default_rng(2)
+    for n in (3, 12, 64, 65, 130, 200):
+        items = [hashes(rng, n), hashes(rng, n)]
+        block = Block([0, 1], items, 4, 10, 0.75, 1.5, 0.998)
+        texts = [np.concatenate([items[k][rng.random(n) < keep], hashes(rng, 5)]) for k in (0, 1) for keep in (1, 0.6, 0.2)]
+        texts = [rng.permutation(t) if len(t) % 2 else t for t in texts]
+        flat = np.concatenate(texts)
+        ids = np.minimum(np.searchsorted(block.vocabulary, flat), len(block.vocabulary) - 1)
+        ids = np.where(block.vocabulary[ids] == flat, ids, len(block.vocabulary))
+        ends = np.cumsum([len(t) for t in texts])
+        got = block.common(ids, np.array([0, 0, 0, 1, 1, 1]), ends - [len(t) for t in texts], ends)
+        assert got.tolist() == [subsequence(items[k // 3].tolist(), t.tolist()) for k, t in enumerate(texts)]
 
 
 def test_stray_words_between_short_runs_are_found(spark):
@@ -121,10 +166,21 @@ def test_passages_of_the_greatest_spread_are_found_at_any_offset(spark):
     rng = random.Random(9)
     e = text(rng, 64)
     spread = [x for i, w in enumerate(e[:48]) for x in (w, f"stray{i}")][:-1]  # 48 of 64 words within 95 of 96
-    item = _Item(" ".join(e), 10, 0.75, 1.5)
-    for before in range(10):
-        assert item.within([f"before{i}" for i in range(before)] + spread + ["after"] * 40)
     wider = spread[:50] + ["x", "y"] + spread[50:]
-    assert not item.within(["before"] * 3 + wider + ["after"] * 40)
-    docs = [(n, " ".join([f"before{i}" for i in range(n)] + spread + ["after"] * 40)) for n in range(10)] + [(99, " ".join(wider))]
+    docs = [(n, " ".join([f"before{i}" for i in range(n)] + spread + ["after"] * 40)) for n in range(10)]
+    docs += [(99, " ".join(wider)), (98, " ".join(["before"] * 3 + wider + ["after"] * 40))]
     assert found(spark, docs, [(1, " ".join(e))]) == {(n, 1) for n in range(10)}
+
+
+def test_blocks_of_items_and_small_grains_change_nothing(spark):
+    rng = random.Random(10)
+    items = [text(rng, rng.randint(3, 80)) for _ in range(9)]
+    docs = [(n, " ".join(text(rng, 30) + items[n % 9] + text(rng, 30))) for n in range(27)]
+    plain = [(k, " ".join(e)) for k, e in enumerate(items)]
+    assert found(spark, docs, plain) == found(spark, docs, plain, block_words=50, grain=60) == {(n, n % 9) for n in range(27)}
+
+
+def test_very_long_items(spark):
+    rng = random.Random(11)
+    item = [f"w{i}" for i in range(700)]
+    assert found(spark, [(1, " ".join(item[:530])), (2, " ".join(item[::2])), (3, " ".join(item[300:310]))], [(5, " ".join(item))]) == {(1, 5), (3, 5)}
