@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-import os
+import atexit
+import shutil
 import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -33,17 +35,29 @@ def micros(col: Column) -> Column:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The cluster's shared checkpoint folder (``spark.checkpoint.dir``); only where that is unset, a folder of our own (local tests)."""
+    """The cluster's shared checkpoint folder (``spark.checkpoint.dir``). Where that is unset, a folder of our own, removed at the end, for a
+    local master only; on a cluster, whose machines don't share such a folder, an error."""
     sc = spark.sparkContext
     configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not configured:
-        configured = os.path.join(tempfile.gettempdir(), f"tagweave-checkpoint-{os.getpid()}")
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all machines share")
+        configured = tempfile.mkdtemp(prefix="tagweave-checkpoint-")
+        atexit.register(shutil.rmtree, configured, ignore_errors=True)
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(configured)
-    return configured
+    return sc.getCheckpointDir()
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Materialises ``df`` reliably in the shared checkpoint folder, so that later reads survive the loss of executors."""
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def written(df: DataFrame) -> DataFrame:
+    """``df`` written once as a columnar table below the shared checkpoint folder, for steps that read some of its columns many times. The
+    table goes with the session's checkpoint folder."""
+    path = f"{checkpoint_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -1,8 +1,10 @@
 import datetime as dt
+from types import SimpleNamespace
 
+import pytest
 from pyspark.sql import functions as F
 
-from tagweave.runtime import checkpoint_dir, cut_lineage, is_blank, let, micros
+from tagweave.runtime import checkpoint_dir, cut_lineage, is_blank, let, micros, written
 
 
 def test_blank(spark):
@@ -22,3 +24,22 @@ def test_checkpoints_go_to_the_folder_of_the_session(spark):
     df = cut_lineage(spark.range(5))
     assert df.count() == 5 and spark.sparkContext.getCheckpointDir() and folder
     assert "RDD" in df._jdf.queryExecution().toString()
+
+
+def test_written_tables_keep_rows_and_types(spark):
+    df = spark.createDataFrame([(1, [1, 2], "a"), (2, None, None)], "i bigint, l array<int>, s string")
+    again = written(df)
+    assert again.schema == df.schema and sorted(again.collect()) == sorted(df.collect())
+    assert written(df.limit(0)).count() == 0
+
+
+def test_a_cluster_needs_a_shared_checkpoint_folder():
+    class Context:
+        master = "spark://head:7077"
+
+        def getCheckpointDir(self):
+            return None
+
+    session = SimpleNamespace(sparkContext=Context(), conf=SimpleNamespace(get=lambda k, d: d))
+    with pytest.raises(RuntimeError):
+        checkpoint_dir(session)
