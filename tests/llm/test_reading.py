@@ -1,8 +1,9 @@
 import random
 
+import numpy as np
 from pyspark.sql import functions as F
 
-from tagweave.llm.reading import Settings, reading_levels, word_count
+from tagweave.llm.reading import Settings, Words, fit, fit_words, reading_levels, word_count
 
 VOCABULARY = [[f"{stem}{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(60)] for stem in ("low", "mid", "high", "top")]
 FOREIGN = [f"fremd{chr(97 + i)}" for i in range(26)]
@@ -61,3 +62,42 @@ def test_without_labels_or_documents(spark):
 def test_words(spark):
     df = spark.createDataFrame([("a  b\n\tc",), ("",), (" ",), (None,), ("x y",)], "t string")
     assert [r[0] for r in df.select(word_count(F.col("t"))).collect()] == [3, 0, 0, 0, 2]
+
+
+def test_difficulties_are_recovered_from_counts():
+    rng = np.random.default_rng(1)
+    true = Words(rng.uniform(0.5, 4.5, 400), rng.uniform(0.3, 2.5, 400), np.array([0.3, 0.3, 0.25, 0.15]))
+    p = true.base * np.exp(true.ratios())
+    assert np.allclose(p.sum(1), 1, atol=1e-5)
+    counts = np.stack([rng.multinomial(2_000_000, x / x.sum()) for x in p.astype(float)])
+    # The words' own shares of levels need not add up to the base; an offset word makes them do.
+    counts = np.concatenate([counts, np.maximum(0, true.base * 4e9 - counts.sum(0))[None]])
+    got = fit_words(counts.astype(float), 1e-6)
+    assert np.abs(got.base - true.base).max() < 1e-3
+    assert np.abs(got.discrimination[:-1] - true.discrimination).max() < 0.2 and np.abs(got.difficulty[:-1] - true.difficulty).max() < 0.3
+    odds = np.exp(got.ratios()[:, 1:] - got.ratios()[:, :-1])
+    assert np.allclose(odds, np.exp(got.discrimination[:, None] * (got.difficulty[:, None] - [1.5, 2.5, 3.5])), rtol=1e-3)
+
+
+def test_words_that_tell_nothing_and_unseen_words_have_no_say():
+    got = fit_words(np.array([[100.0, 100, 100, 100], [0, 0, 0, 0], [0, 0, 0, 50], [50, 0, 0, 0]]))
+    assert np.abs(got.ratios()[:2]).max() < 0.1 and got.difficulty[2] > 3 > 2 > got.difficulty[3]
+
+
+def test_model_is_recovered_from_texts_with_few_labels(spark):
+    rng = np.random.default_rng(7)
+    letters = lambda i: "w" + "".join(chr(97 + i // 26**k % 26) for k in range(3))
+    true = Words(rng.uniform(0.5, 4.5, 300), rng.uniform(0.5, 2.5, 300), np.full(4, 0.25))
+    p = np.exp(true.ratios().astype(float))
+    p /= p.sum(0)
+    band = rng.integers(1, 5, 600)
+    docs = [(i, " ".join(" ".join(letters(w) for w in rng.choice(300, 12, p=p[:, b - 1])) + "." for _ in range(8)), "en", 1, "x") for i, b in enumerate(band)]
+    labels = [(i, int(band[i]), "r", "x") for i in range(0, 600, 8)]
+    d, lab = spark.createDataFrame(docs, DOCS), spark.createDataFrame(labels, LABELS)
+    s = Settings(slots=1 << 14, passes=12)
+    f = fit(d, F.col("doc_id"), F.col("text"), F.col("lang"), lab, F.col("doc_id"), F.col("band"), F.col("rater"), s)
+    slots = [r[0] for r in spark.createDataFrame([(letters(i),) for i in range(300)], "w string").coalesce(1).select(F.pmod(F.xxhash64("w"), F.lit(s.slots))).collect()]
+    assert np.corrcoef(np.clip(f.words.difficulty[slots], 0, 5), true.difficulty)[0, 1] > 0.95
+    assert f.gains == sorted(f.gains) and 1 < len(f.gains) < 12 and f.gains[-1] - f.gains[-2] <= 1e-3 * f.gains[-2]
+    got = {r.doc_id: r.band for r in f.levels().collect()}
+    assert np.mean([got[i] == band[i] for i in range(600) if i % 8]) > 0.95
