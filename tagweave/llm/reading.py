@@ -89,8 +89,9 @@ def word_count(text: Column) -> Column:
 
 def _sentences(text: Column, slots: int) -> Column:
     """The text's sentences as arrays of word slots; numbers share one slot."""
-    slot = lambda w: F.pmod(F.xxhash64(F.regexp_replace(w, "[0-9]+", "0")), F.lit(slots)).cast("int")
-    return F.transform(F.split(text, _SENTENCE), lambda s: F.transform(F.regexp_extract_all(F.lower(s), F.lit(f"({_WORD})")), slot))
+    slot = lambda w: F.pmod(F.xxhash64(w), F.lit(slots)).cast("int")
+    plain = F.regexp_replace(F.lower(text), "[0-9]+", "0")
+    return F.transform(F.split(plain, _SENTENCE), lambda s: F.transform(F.regexp_extract_all(s, F.lit(_WORD), F.lit(0)), slot))
 
 
 def _unpack(batch: pa.RecordBatch, piece: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -210,7 +211,7 @@ def _once(documents: DataFrame) -> DataFrame:
 
 
 class Fit:
-    """Texts as word slots, written once, and what was fitted to them: ``words`` and ``gains``, the log likelihood before every pass."""
+    """Texts as word slots, written once, and what was fitted to them: ``words`` at the occurring ``slots``, and ``gains``, the log likelihood at every pass."""
 
     def __init__(self, documents: DataFrame, labels: DataFrame, s: Settings) -> None:
         """``documents``: ``doc_id, text, lang``, no nulls in the first two; ``labels``: ``doc_id, labels`` with the raters' counts by level."""
@@ -230,7 +231,7 @@ class Fit:
         known = self.texts.agg(F.count_if(F.col("tongue") > 0).alias("en"), F.count_if(F.col("tongue") < 0).alias("other"), F.count_if(F.exists("labels", lambda x: x > 0)).alias("labelled")).first()
         self.labelled, self.odds = known["labelled"], float(np.log((known["en"] + 1) / (known["other"] + 1)))
         self.tongues = self.spark.sparkContext.broadcast((by_tongue[:, 0] - by_tongue[:, 1]).astype(np.float32))
-        self.words, self.gains = fit_words(np.zeros((1, s.levels))), []
+        self.words, self.slots, self.gains = fit_words(np.zeros((0, s.levels))), np.zeros(0, np.int64), []
         self.table = None
         if self.labelled:
             self._alternate()
@@ -242,8 +243,11 @@ class Fit:
             shared = self.spark.sparkContext.broadcast(table)
             sums = _gather(inputs, s.levels, s.slots + 1, self._adder(shared, step == 0))  # the last row holds the log likelihood
             shared.destroy()
-            self.words = fit_words(sums[:-1], s.ridge)
-            table = self.words.ratios()
+            seen = np.flatnonzero(sums[:-1].any(1))
+            self.words = fit_words(sums[seen], s.ridge)
+            self.slots = seen
+            table = np.zeros((s.slots, s.levels), np.float32)
+            table[seen] = self.words.ratios()
             if step:
                 self.gains.append(float(sums[-1, 0]))
             if step > 1 and abs(self.gains[-1] - self.gains[-2]) <= s.tolerance * abs(self.gains[-2]):
