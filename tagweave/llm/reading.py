@@ -89,9 +89,9 @@ def word_count(text: Column) -> Column:
 
 def _sentences(text: Column, slots: int) -> Column:
     """The text's sentences as arrays of word slots; numbers share one slot."""
-    slot = lambda w: F.pmod(F.xxhash64(w), F.lit(slots)).cast("int")
-    plain = F.regexp_replace(F.lower(text), "[0-9]+", "0")
-    return F.transform(F.split(plain, _SENTENCE), lambda s: F.transform(F.regexp_extract_all(s, F.lit(_WORD), F.lit(0)), slot))
+    number = F.xxhash64(F.lit("0"))
+    slot = lambda w: F.pmod(F.when(w < ":", number).otherwise(F.xxhash64(w)), F.lit(slots)).cast("int")
+    return F.transform(F.split(F.lower(text), _SENTENCE), lambda s: F.transform(F.regexp_extract_all(s, F.lit(_WORD), F.lit(0)), slot))
 
 
 def _unpack(batch: pa.RecordBatch, piece: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
