@@ -64,14 +64,6 @@ def p4_survivors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best.withColumnRenamed("group_key", "full_order_code")
 
 
-# The words that precede a value on labels, by list, in capitals.
-FIELD_LABELS = {
-    "product": (r"ITEM\b", r"STYLE\b", r"NO\.\s", r"#"),
-    "size": (r"SIZE\b", r"SZ\b"),
-    "color": (r"COLOR\b", r"COL\.", r"CLR\b"),
-}
-
-
 def _lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     of = lambda t, c, n: table(spark, sf_dir, t).select(F.lit(n).alias("list_name"), F.col(c).alias("entry"))
     return of("products", "code", "product").unionByName(of("sizes", "name", "size")).unionByName(of("colors", "name", "color"))
@@ -91,13 +83,13 @@ def _free_values(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     free = _free_values(spark, sf_dir)
-    mapped = canonical_entries(free, _lists(spark, sf_dir), FIELD_LABELS)
+    mapped = canonical_entries(free, _lists(spark, sf_dir))
     return free.join(mapped, ["list_name", "raw_value"]).select("frame_id", "list_name", "raw_value", "entry")
 
 
 def p5_unmatched(spark: SparkSession, sf_dir: str) -> DataFrame:
     free = _free_values(spark, sf_dir)
-    mapped = canonical_entries(free, _lists(spark, sf_dir), FIELD_LABELS).where("entry = '(none)'")
+    mapped = canonical_entries(free, _lists(spark, sf_dir)).where("entry = '(none)'")
     return free.groupBy("list_name", "raw_value").agg(F.count("*").alias("n_frames")).join(mapped, ["list_name", "raw_value"]).select("list_name", "raw_value", "n_frames")
 
 
