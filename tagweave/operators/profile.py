@@ -20,14 +20,21 @@ class Form:
     date_format: str | None = None
 
 
+# Classes beyond ASCII and the sign that stands for each; then the ASCII classes.
+_CLASSES = ((r"[\p{Ll}\p{Lt}\p{Lm}\p{Lo}&&[^\x00-\x7F]]", "\u00fc"), (r"[\p{Lu}&&[^\x00-\x7F]]", "\u00dc"), ("[A-Z]", "A"), ("[a-z]", "a"), ("[0-9]", "9"))
+
+
 def mask(value: Column) -> Column:
-    """The value with every ASCII capital as ``A``, small letter as ``a`` and digit as ``9``; one character each, others kept."""
-    return F.regexp_replace(F.regexp_replace(F.regexp_replace(value, "[A-Z]", "A"), "[a-z]", "a"), "[0-9]", "9")
+    """The value with every ASCII capital as ``A``, small letter as ``a`` and digit as ``9``, and letters beyond ASCII as ``\u00dc`` (capitals)
+    and ``\u00fc`` (others); one character each, others kept."""
+    for form, sign in _CLASSES:
+        value = F.regexp_replace(value, form, sign)
+    return value
 
 
 def short_mask(value: Column) -> Column:
-    """The mask with runs of one class written once (``A9-9+``): the generalisation used for patterns and drift."""
-    return F.regexp_replace(mask(value), r"([Aa9])\1+", "$1+")
+    """The mask with runs of one class written once (``A9-9+``): the generalisation used for dominant patterns and drift."""
+    return F.regexp_replace(mask(value), "([Aa9\u00dc\u00fc])\\1+", "$1+")
 
 
 def code_date(value: Column) -> Column:
@@ -59,34 +66,67 @@ def value_counts(rows: DataFrame, load: Column, columns: dict[str, Column], date
     )
 
 
-def profile(counts: DataFrame, forms: dict[str, Form]) -> DataFrame:
-    """One row per load and column: rows, empty share, distinct values, least and greatest value, lengths, malformed and far
-    shares, the dominant mask with its share, and the most over-represented value with its lift over all loads.
-
-    Shares but the empty one are of the rows with a value, and null where there is none. An empty table has no loads, so no rows.
+def masked(counts: DataFrame, forms: dict[str, Form]) -> DataFrame:
+    """``counts`` with ``mask``: the value's mask, empty for no value, and ``!`` behind the mask of a text in a date column that is no real date."""
+    name, value = F.col("column_name"), F.col("value")
+    unreal = F.lit(False)
+    for column, form in forms.items():
+        if form.date_format:
+            real = code_date(value) if form.date_format == "MMddyy" else F.try_to_date(value, form.date_format)
+            unreal = F.when(name == column, real.isNull()).otherwise(unreal)
+    return counts.withColumn("mask", F.when(value.isNull(), "").otherwise(F.concat(mask(value), F.when(unreal, "!").otherwise(""))))
+
+
+def mined(masks: DataFrame, forms: dict[str, Form], rare: float = 0.005) -> DataFrame:
+    """``column_name, mask, share, is_rare, is_usual``: the patterns of each column over all loads, mined from ``masks`` (``column_name, mask, n``).
+    A mask under ``rare`` of the values is rare; one that meets the column's form is usual, and where a column has no form, one that isn't rare."""
+    all_n = masks.where("mask <> ''").groupBy("column_name", "mask").agg(F.sum("n").alias("n"))
+    total = all_n.groupBy("column_name").agg(F.sum("n").alias("total"))
+    share = F.col("n") / F.col("total")
+    usual = share >= rare
+    for column, form in forms.items():
+        usual = F.when(F.col("column_name") == column, F.col("mask").rlike(form.mask)).otherwise(usual)
+    return all_n.join(F.broadcast(total), "column_name").select("column_name", "mask", share.alias("share"), (share < rare).alias("is_rare"), usual.alias("is_usual"))
+
+
+def profile(counts: DataFrame, forms: dict[str, Form], rare: float = 0.005) -> DataFrame:
+    """One row per load and column: rows, empty share, distinct values, least and greatest value, lengths, malformed, rare and far
+    shares, the dominant mask with its share, the divergence of the load's masks from all loads', and the most over-represented
+    value with its lift over all loads.
+
+    Values are generalised to masks and the masks' patterns mined over all loads (``mined``); a load's masks are then held against
+    these patterns: what falls outside the usual ones is malformed, the empty mask tells the values that are missing. ``divergence`` is
+    Jensen-Shannon's, in bits, of the load's mask mix from that of all loads; ``top_lift`` the greatest surplus of a value's
+    share, the same comparison at the finest mask, the value itself. Shares but the empty one are of the rows with a value, and null
+    where there is none. An empty table has no loads, so no rows.
     """
-    malformed = F.lit(False)
-    for name, form in forms.items():
-        bad = ~mask(F.col("value")).rlike(form.mask)
-        if form.date_format == "MMddyy":
-            bad = bad | code_date(F.col("value")).isNull()
-        elif form.date_format:
-            bad = bad | F.try_to_date(F.col("value"), form.date_format).isNull()
-        malformed = F.when(F.col("column_name") == name, bad).otherwise(malformed)
+    by_mask = masked(counts, forms).groupBy("load", "column_name", "mask").agg(
+        F.sum("n").alias("n"), F.sum("n_far").alias("far"), F.count("value").alias("n_values"), F.min("value").alias("lo"), F.max("value").alias("hi"), F.min(F.length("value")).alias("short"), F.max(F.length("value")).alias("long")
+    )
+    patterns = mined(by_mask, forms, rare)
+    there = F.col("mask") != ""
+    held = by_mask.join(patterns, ["column_name", "mask"], "left")
+    held = held.withColumn("present", F.sum(F.when(there, F.col("n")).otherwise(0)).over(W.partitionBy("load", "column_name")))
+    of = lambda c: F.sum(F.when(c, F.col("n")).otherwise(0))
+    p, q = F.col("n") / F.col("present"), F.col("share")
+    mid = (p + q) / 2
+    term = F.when(there, 0.5 * p * F.log2(p / mid) + 0.5 * q * F.log2(q / mid) - 0.5 * q)
+    per = held.groupBy("load", "column_name").agg(
+        F.sum("n").alias("n_rows"),
+        of(there).alias("n_present"),
+        F.sum("n_values").alias("n_distinct"),
+        F.min("lo").alias("min_value"),
+        F.max("hi").alias("max_value"),
+        F.min("short").alias("min_length"),
+        F.max("long").alias("max_length"),
+        of(there & ~F.col("is_usual")).alias("n_malformed"),
+        of(there & F.col("is_rare")).alias("n_rare"),
+        F.sum("far").alias("n_far"),
+        F.greatest(F.lit(0.0), F.lit(0.5) + F.sum(term)).alias("divergence"),
+    )
     present = F.col("value").isNotNull()
     overall = counts.where(present).groupBy("column_name", "value").agg(F.sum("n").alias("all_n"))
     totals = overall.groupBy("column_name").agg(F.sum("all_n").alias("all_rows"))
-    per = counts.groupBy("load", "column_name").agg(
-        F.sum("n").alias("n_rows"),
-        F.sum(F.when(present, F.col("n")).otherwise(0)).alias("n_present"),
-        F.count("value").alias("n_distinct"),
-        F.min("value").alias("min_value"),
-        F.max("value").alias("max_value"),
-        F.min(F.length("value")).alias("min_length"),
-        F.max(F.length("value")).alias("max_length"),
-        F.sum(F.when(present & malformed, F.col("n")).otherwise(0)).alias("n_malformed"),
-        F.sum("n_far").alias("n_far"),
-    )
     share = counts.where(present).join(overall, ["column_name", "value"]).join(F.broadcast(totals), "column_name")
     share = share.join(per.select("load", "column_name", "n_present"), (share["load"].eqNullSafe(per["load"])) & (share["column_name"] == per["column_name"])).select(
         share["load"], share["column_name"], "value", (F.col("n") / F.col("n_present") - F.col("all_n") / F.col("all_rows")).alias("lift")
@@ -98,10 +138,10 @@ def profile(counts: DataFrame, forms: dict[str, Form]) -> DataFrame:
     for extra in (top, common):
         e = extra.withColumnsRenamed({"load": "load_2", "column_name": "column_2"})
         out = out.join(e, F.col("p.load").eqNullSafe(F.col("load_2")) & (F.col("p.column_name") == F.col("column_2")), "left").drop("load_2", "column_2")
-    of = lambda n: F.try_divide(F.col(n), F.col("n_present"))
+    part = lambda n: F.try_divide(F.col(n), F.col("n_present"))
     return out.withColumns(
-        {"null_share": F.col("n_rows") - F.col("n_present"), "malformed_share": of("n_malformed"), "far_share": of("n_far"), "dominant_share": of("dominant_n")}
-    ).withColumn("null_share", F.col("null_share") / F.col("n_rows"))
+        {"null_share": (F.col("n_rows") - F.col("n_present")) / F.col("n_rows"), "malformed_share": part("n_malformed"), "rare_share": part("n_rare"), "far_share": part("n_far"), "dominant_share": part("dominant_n")}
+    )
 
 
 def findings(profiles: DataFrame, share: float = 0.15, lift: float = 0.40, with_mix: tuple[str, ...] = (), with_range: tuple[str, ...] = ()) -> DataFrame:

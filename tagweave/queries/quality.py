@@ -79,9 +79,9 @@ marked AS (
       WHEN 'product_code' THEN NOT regexp_full_match(v, '[A-Za-z0-9]{3,9}') WHEN 'size' THEN NOT regexp_full_match(v, '[A-Z0-9/-]{1,7}')
       WHEN 'color' THEN NOT regexp_full_match(v, '[A-Za-z /]{3,}') ELSE v IS NOT NULL AND d IS NULL END AS bad,
     coalesce(captured_at::DATE < d - INTERVAL 24 MONTH OR captured_at::DATE > d + INTERVAL 24 MONTH, false) AS far,
-    regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(
-      v, '[A-Z]', 'A', 'g'), '[a-z]', 'a', 'g'), '[0-9]', '9', 'g'), 'AA+', 'A+', 'g'), 'aa+', 'a+', 'g'), '99+', '9+', 'g') AS m
-  FROM cells
+    regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(w, 'AA+', 'A+', 'g'), 'aa+', 'a+', 'g'), '99+', '9+', 'g'), 'üü+', 'ü+', 'g'), 'ÜÜ+', 'Ü+', 'g') AS m
+  FROM (SELECT *, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(
+      v, '[A-Z]', chr(1), 'g'), '[a-z]', chr(2), 'g'), '[\p{Ll}\p{Lt}\p{Lm}\p{Lo}]', 'ü', 'g'), '\p{Lu}', 'Ü', 'g'), chr(1), 'A', 'g'), chr(2), 'a', 'g'), '[0-9]', '9', 'g') AS w FROM cells)
 )"""
 
 _PER = _LONG + """,
