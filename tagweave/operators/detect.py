@@ -15,6 +15,22 @@ def best_class(scores: Column) -> Column:
     return F.when(F.size(scores) > 0, F.struct((F.array_position(scores, top) - 1).cast("int").alias("class_id"), top.alias("confidence")))
 
 
+def rows_first(first: Column | int, n_classes: int, masks: int = 32, slack: int = 10) -> Column:
+    """Whether a detector's output with ``first`` as its first dimension has its candidates in the second and must be turned: a box,
+    the class scores, mask coefficients and some slack are fewer than candidates ever are."""
+    return (F.lit(first) if isinstance(first, int) else first) <= 4 + n_classes + masks + slack
+
+
+def candidates(output: Column, n_classes: int, masks: int = 0) -> Column:
+    """The candidates of an output (``ARRAY<ARRAY<DOUBLE>>``) in either layout: an array of ``STRUCT<box, scores, coefficients>``; rows of
+    fewer than five numbers are no candidates, missing scores end the row. Null for a null output, empty for an empty one."""
+    width = F.array_max(F.transform(output, lambda r: F.size(r)))
+    turned = F.transform(F.sequence(F.lit(0), F.greatest(width - 1, F.lit(0))), lambda i: F.transform(output, lambda r: F.get(r, i)))
+    rows = F.when(F.coalesce(width, F.lit(0)) < 1, output).when(rows_first(F.size(output), n_classes, masks), turned).otherwise(output)
+    full = F.filter(rows, lambda r: F.size(r) >= 5)
+    return F.transform(full, lambda r: F.struct(F.slice(r, 1, 4).alias("box"), F.slice(r, 5, n_classes).alias("scores"), F.slice(r, 5 + n_classes, max(masks, 0)).alias("coefficients")))
+
+
 def class_name(class_id: Column, names: list[str]) -> Column:
     """Name of a class, ``unknown`` outside the list."""
     return F.coalesce(F.get(F.array(*[F.lit(n) for n in names]), class_id), F.lit("unknown"))
@@ -94,14 +110,15 @@ def suppress(boxes: Column, threshold: float = 0.45, cap: int = 100, cap_candida
     return let(ranked, fold)
 
 
-def nms(detections: DataFrame, frame: str, confidence: str, box: str, ord_: str, min_confidence: float = 0.5, threshold: float = 0.45, cap: int = 100, keep: tuple[str, ...] = ()) -> DataFrame:
+def nms(detections: DataFrame, frame: str, confidence: str, box: str, ord_: str, min_confidence: float = 0.5, threshold: float = 0.45, cap: int = 100, keep: tuple[str, ...] = (), cap_candidates: bool = False) -> DataFrame:
     """``frame, ord_, confidence, box, *keep, rank``: the boxes of each frame that survive, ranked by confidence.
 
-    Null frames, confidences and boxes are left out. A frame holds what one image holds; the filter comes before the shuffle.
+    At most ``cap`` boxes of a frame are kept, or with ``cap_candidates`` looked at (the two back-ends differ in this). Null frames,
+    confidences and boxes are left out. A frame holds what one image holds; the filter comes before the shuffle.
     """
     rows = detections.where(F.col(frame).isNotNull() & passes_confidence(F.col(confidence), min_confidence) & F.col(box).isNotNull())
     entry = F.struct(F.col(confidence).alias("confidence"), F.col(ord_).alias("ord"), F.col(box).alias("box"), *keep)
-    kept = rows.groupBy(frame).agg(suppress(F.collect_list(entry), threshold, cap).alias("kept"))
+    kept = rows.groupBy(frame).agg(suppress(F.collect_list(entry), threshold, cap, cap_candidates).alias("kept"))
     out = kept.select(frame, F.posexplode("kept").alias("i", "k"))
     return out.select(frame, F.col("k.ord").alias(ord_), F.col("k.confidence").alias(confidence), F.col("k.box").alias(box), *[F.col(f"k.{c}").alias(c) for c in keep], (F.col("i") + 1).alias("rank"))
 

@@ -3,18 +3,18 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tagweave.functions.similarity import combined_similarity, folded
 
 
-def load_entries(raw: DataFrame, column: str, upper: bool) -> DataFrame:
-    """``entry, ord`` of a dictionary: outer white space removed (and capitals with ``upper``), blank entries dropped, repeated
-    ones kept once under their first place in the alphabet of the raw values."""
+def load_entries(raw: DataFrame, column: str, upper: bool, place: str | None = None) -> DataFrame:
+    """``entry, ord`` of a dictionary: outer white space removed (and capitals with ``upper``), blank entries dropped, repeated ones kept
+    once. ``ord`` decides ties of fuzzy matching: the first ``place`` of the entry in its list, where the source tells one, else it is null and the alphabet decides."""
     text = F.regexp_replace(F.col(column).cast("string"), r"^\s+|\s+$", "")
-    entry = raw.select((F.upper(text) if upper else text).alias("entry")).where("entry is not null and entry <> ''").distinct()
-    return entry.select("entry", F.row_number().over(W.orderBy("entry")).alias("ord"))
+    at = F.col(place).cast("bigint") if place else F.lit(None).cast("bigint")
+    rows = raw.select((F.upper(text) if upper else text).alias("entry"), at.alias("ord")).where("entry is not null and entry <> ''")
+    return rows.groupBy("entry").agg(F.min("ord").alias("ord"))
 
 
 def exact_match(texts: DataFrame, text: str, entries: DataFrame, keep_case: bool = False) -> DataFrame:
@@ -39,7 +39,7 @@ def _tokens(text: Column) -> Column:
 
 def fuzzy_match(texts: DataFrame, text: str, entries: DataFrame, min_score: float = 0.9) -> DataFrame:
     """``texts`` (distinct rows of one column) with ``match`` and ``score``: the entry with the highest combined similarity
-    **above** ``min_score`` (0 or more); the first entry (by ``ord``) wins a tie; no winner gives ``''`` and ``min_score``, an empty
+    **above** ``min_score`` (0 or more); the first entry (by ``ord``, then in the alphabet) wins a tie; no winner gives ``''`` and ``min_score``, an empty
     text or an empty dictionary ``''`` and 0.
 
     Candidates come from an equality join, not a cross join: a pair scoring above ``min_score`` shares so many characters
@@ -61,7 +61,8 @@ def fuzzy_match(texts: DataFrame, text: str, entries: DataFrame, min_score: floa
     near = (F.least(a, b) >= F.greatest(a, b) * F.lit(share) - 1e-9) & first & (F.size(F.array_intersect("__ta", "__tb")) >= needed)
     pairs = left.join(right, "__k").where(near).select("__raw", "__t", "entry", "ord", "__e")
     scored = pairs.withColumn("score", combined_similarity(F.col("__t"), F.col("__e"))).where(F.col("score") > min_score)
-    best = scored.groupBy("__raw").agg(F.max_by("entry", F.struct("score", -F.col("ord"))).alias("match"), F.max("score").alias("score"))
+    first = F.struct((-F.col("score")).alias("s"), F.coalesce("ord", F.lit(0).cast("bigint")).alias("o"), F.col("entry").alias("e"))
+    best = scored.groupBy("__raw").agg(F.min(first).alias("m")).select("__raw", F.col("m.e").alias("match"), (-F.col("m.s")).alias("score"))
     out = texts.join(best, texts[text] == best["__raw"], "left")
     none = folded(F.col(text)).isNull() | (folded(F.col(text)) == "") | (entries.agg(F.count("*")).scalar() == 0)
     return out.withColumns({"match": F.coalesce("match", F.lit("")), "score": F.coalesce("score", F.when(none, 0.0).otherwise(min_score))}).drop("__raw")

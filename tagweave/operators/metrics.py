@@ -33,17 +33,43 @@ def stage_averages(results: DataFrame, timing: Column) -> DataFrame:
     return results.select(F.explode(timing).alias("stage", "ms")).where("ms is not null").groupBy("stage").agg(F.count("*").alias("n"), F.avg("ms").alias("avg_ms"))
 
 
+def _middle(rows: DataFrame, by: list[str], ms: str) -> DataFrame:
+    """``*by, median``: the exact median (the mean of the two middle values of an even number).
+
+    An approximate percentile of bounded size gives two values that enclose the middle ranks; only the few rows between them are
+    counted by value and put in order, so no buffer or task holds a group.
+    """
+    near = rows.groupBy(*by).agg(F.count(ms).alias("__n"), F.count_if(F.col(ms).isNotNull()).alias("__all"), F.percentile_approx(ms, F.array(F.lit(0.499), F.lit(0.501)), F.lit(10_000)).alias("__r"))
+    near = near.where("__n > 0").withColumnsRenamed({c: f"__{c}_2" for c in by}).drop("__all")
+    on = F.lit(True)
+    for c in by:
+        on = on & F.col(c).eqNullSafe(F.col(f"__{c}_2"))
+    held = rows.where(F.col(ms).isNotNull()).join(near, on)
+    low, high = F.col("__r")[0], F.col("__r")[1]
+    place = F.when(F.col(ms) < low, F.lit(None)).otherwise(F.col(ms))
+    counts = held.where(F.col(ms) <= high).groupBy(*by, place.alias("__v")).agg(F.count("*").alias("__c"), F.max("__n").alias("__n"))
+    upto = F.sum("__c").over(W.partitionBy(*by).orderBy(F.asc_nulls_first("__v")))
+    ranked = counts.withColumn("__z", upto).withColumn("__a", F.col("__z") - F.col("__c"))
+    first, last = F.floor((F.col("__n") - 1) / 2), F.floor(F.col("__n") / 2)
+    value = lambda k: F.max(F.when((F.col("__a") <= k) & (k < F.col("__z")), F.col("__v")))
+    return ranked.groupBy(*by).agg(((value(first) + value(last)) / 2).alias("median"))
+
+
 def latency_stats(rows: DataFrame, by: list[str], ms: str) -> DataFrame:
     """``n, mean_ms, median_ms, min_ms, max_ms, std_ms`` (median interpolated, deviation of the population) per group; nulls ignored."""
     c = F.col(ms)
-    return rows.groupBy(*by).agg(
+    out = rows.groupBy(*by).agg(
         F.count(c).alias("n"),
         F.coalesce(F.avg(c), F.lit(0.0)).alias("mean_ms"),
-        F.coalesce(F.percentile(c, F.lit(0.5)), F.lit(0.0)).alias("median_ms"),
         F.coalesce(F.min(c), F.lit(0.0)).alias("min_ms"),
         F.coalesce(F.max(c), F.lit(0.0)).alias("max_ms"),
         F.coalesce(F.stddev_pop(c), F.lit(0.0)).alias("std_ms"),
     )
+    middle = _middle(rows.select(*by, c), by, ms).withColumnsRenamed({k: f"__{k}_3" for k in by})
+    on = F.lit(True)
+    for k in by:
+        on = on & F.col(k).eqNullSafe(F.col(f"__{k}_3"))
+    return out.join(middle, on, "left").select(*by, "n", "mean_ms", F.coalesce("median", F.lit(0.0)).alias("median_ms"), "min_ms", "max_ms", "std_ms")
 
 
 def compare_backends(stats: DataFrame, backend: str, base: str, other: str) -> DataFrame:
@@ -59,7 +85,12 @@ def compare_backends(stats: DataFrame, backend: str, base: str, other: str) -> D
     )
 
 
-def error_triage(results: DataFrame, batch: str, frame: str, error: Column, wanted: str) -> DataFrame:
+def error_frames(results: DataFrame, batch: str, frame: str, error: Column, wanted: str) -> DataFrame:
+    """``batch, frame``: the frames of each batch that have the wanted error, once each; rows, not an array, so a batch may have any number."""
+    return results.where(F.coalesce(error == wanted, F.lit(False))).select(batch, frame).distinct()
+
+
+def error_triage(results: DataFrame, batch: str, error: Column, wanted: str) -> DataFrame:
     """``batch, total, errors, error_rate`` per batch, and the grand total in a row with a null batch (``is_total``)."""
     rows = results.select(F.col(batch), F.coalesce(error == wanted, F.lit(False)).alias("__bad"))
     by = rows.rollup(batch).agg(F.count("*").alias("total"), F.count_if("__bad").alias("errors"), F.grouping(batch).cast("boolean").alias("is_total"))

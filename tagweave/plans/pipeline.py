@@ -8,6 +8,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tagweave.runtime import written
+
 # The error labels of a result, by the stage that failed.
 STAGE_ERRORS = {
     "s2": "No label detected",
@@ -45,10 +47,13 @@ class Stage:
 
 @dataclass(frozen=True)
 class Pipeline:
-    """Stages in order over rows keyed by ``key``; rows that failed a stage aren't given to the next ones."""
+    """Stages in order over rows keyed by ``key``; rows that failed a stage aren't given to the next ones. ``keep`` holds a stage's result,
+    which both the next stage and the output read, so that no stage (and no model in it) runs twice; by default it is written to
+    the shared checkpoint folder."""
 
     key: str
     stages: tuple[Stage, ...] = field(default=())
+    keep: Callable[[DataFrame], DataFrame] = written
 
     def apply(self, frames: DataFrame) -> DataFrame:
         """``frames`` with the stages' columns, ``success``, ``error`` and ``stage``: the label and name of the first failed
@@ -60,7 +65,7 @@ class Pipeline:
                     ended.append(alive.select("*", F.lit(s.error_off or s.error).alias("error"), F.lit(s.name).alias("stage")))
                     alive = alive.where(F.lit(False))
                 continue
-            done = s.run(alive)
+            done = self.keep(s.run(alive))
             ok = F.coalesce(s.ok, F.lit(False))
             ended.append(done.where(~ok).select("*", F.lit(s.error).alias("error"), F.lit(s.name).alias("stage")))
             alive = done.where(ok)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from collections.abc import Callable
 from typing import Generic, TypeVar
 
+from tagweave.plans import engines
+
 X = TypeVar("X")
 
 
@@ -44,18 +46,11 @@ def _importable(module: str) -> Callable[[], bool]:
     return check
 
 
-def _missing(module: str) -> Callable[..., object]:
-    def make(**_: object) -> object:
-        raise RuntimeError(f"{module} isn't installed; register a factory of your own")
-
-    return make
-
-
-DETECTORS: Registry = Registry("detector")
-CODE_READERS: Registry = Registry("code reader")
-RECOGNISERS: Registry = Registry("text recogniser")
-for _name, _module in (("onnx", "onnxruntime"), ("openvino", "openvino")):
-    DETECTORS.register(_name, _missing(_module), _importable(_module))
-for _name, _module in (("zxing", "zxingcpp"), ("wechat", "cv2")):
-    CODE_READERS.register(_name, _missing(_module), _importable(_module))
-RECOGNISERS.register("paddle", _missing("paddleocr"), _importable("paddleocr"))
+DETECTORS: Registry[engines.Detector] = Registry("detector")
+CODE_READERS: Registry[engines.CodeReader] = Registry("code reader")
+RECOGNISERS: Registry[engines.Recogniser] = Registry("text recogniser")
+DETECTORS.register("onnx", engines.onnx_detector, _importable("onnxruntime"))
+DETECTORS.register("openvino", engines.openvino_detector, _importable("openvino"))
+CODE_READERS.register("zxing", engines.zxing_reader, _importable("zxingcpp"))
+CODE_READERS.register("wechat", engines.wechat_reader, _importable("cv2"))
+RECOGNISERS.register("paddle", engines.paddle_recogniser, _importable("paddleocr"))

@@ -46,6 +46,15 @@ def c3_decode_outer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _decoded(spark, sf_dir, "outer")
 
 
+def c4_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # Each vector as a detector's output of 4 by 16 numbers: fewer rows than candidates, so it is turned.
+    output = F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: F.slice("embedding", i * 16 + 1, 16))
+    wide = F.concat(output, F.array(F.slice("embedding", 1, 16), F.slice("embedding", 17, 16)))
+    c = D.candidates(wide, 2)
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", F.posexplode(c).alias("i", "c"))
+    return rows.select("vec_id", "i", F.round(F.col("c.box")[0].cast("double"), 6).alias("x"), F.round(F.col("c.scores")[1].cast("double"), 6).alias("score"))
+
+
 def c5_area_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = _detections(spark, sf_dir).where(D.passes_confidence(F.col("confidence"), 0.5) & D.small_enough(F.col("bbox"), F.lit(_W), F.lit(_H), 0.05))
     return d.select("frame_id", "det_no", D.box_area(F.col("bbox")).alias("area"))
@@ -104,7 +113,7 @@ def e20_scale(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def e22_scale_back(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = G.scale_back(F.col("bbox"), F.lit(1.7))
-    return _polygons(spark, sf_dir).where("size(bbox) = 4").select("block_id", p[0][0].alias("x1"), p[0][1].alias("y1"), p[2][0].alias("x3"), p[2][1].alias("y3"))
+    return _polygons(spark, sf_dir).where("size(bbox) = 4").select("block_id", p.alias("p")).select("block_id", *[F.col("p")[i][j].alias(f"{n}{i + 1}") for i in range(4) for j, n in enumerate("xy")], G.bounding_rect(F.col("p")).alias("r")).select("*", "r.*").drop("r")
 
 
 def _regions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -161,7 +170,7 @@ def e31_fit_scale(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        c1_best_class, c3_decode_inner, c3_decode_outer, c5_area_filter, w1_top_detections, w2_first_detection, w3_suppression, w3_dense_suppression, d9_bounding_rect, d10_extents, d8_polygon_area,
+        c1_best_class, c4_candidates, c3_decode_inner, c3_decode_outer, c5_area_filter, w1_top_detections, w2_first_detection, w3_suppression, w3_dense_suppression, d9_bounding_rect, d10_extents, d8_polygon_area,
         d8_largest_polygon, w11_ordered_corners, e20_scale, e22_scale_back, e23_region_above, e24_region_below, e25_merged_shape, e14_landscape, e15_half_turn, e10_mask_value, d14_mask_coverage,
         e28_detection_label, e31_fit_scale,
     )
@@ -186,6 +195,7 @@ SELECT {frame}, kept[i].o AS {ord_}, i AS rank FROM k, unnest(range(1, len(kept)
 
 ORACLES = {
     "c1_best_class": "SELECT vec_id, (list_position(embedding, list_max(embedding)) - 1)::INT AS class_id, round(list_max(embedding)::DOUBLE, 6) AS confidence FROM embeddings",
+    "c4_candidates": "SELECT vec_id, i::INT AS i, round(embedding[i + 1]::DOUBLE, 6) AS x, round(embedding[16 + i + 1]::DOUBLE, 6) AS score FROM embeddings, unnest(range(0, 16)) AS t(i)",
     "c3_decode_inner": f"{_DECODE} SELECT frame_id, det_no, least(greatest(0, a), {_W - 1}) AS x1, least(greatest(0, b), {_H - 1}) AS y1, least(greatest(0, c), {_W}) AS x2, least(greatest(0, d), {_H}) AS y2 FROM e",
     "c3_decode_outer": f"{_DECODE} SELECT frame_id, det_no, greatest(0, a) AS x1, greatest(0, b) AS y1, least({_W}, c) AS x2, least({_H}, d) AS y2 FROM e",
     "c5_area_filter": f"WITH {_D} SELECT frame_id, det_no, w * h AS area FROM d WHERE confidence > 0.5 AND w * h <= {_W} * {_H} * 0.05",
@@ -203,7 +213,8 @@ SELECT frame_id, max(abs(list_sum(list_transform(range(1, len(bbox) + 1), lambda
     "w11_ordered_corners": f"""WITH {_P} SELECT block_id, bbox[1][1] AS x1, bbox[1][2] AS y1, bbox[2][1] AS x2, bbox[2][2] AS y2, bbox[3][1] AS x3, bbox[3][2] AS y3, bbox[4][1] AS x4, bbox[4][2] AS y4 FROM p WHERE len(bbox) = 4""",
     "e20_scale": f"""WITH {_D}, q AS (SELECT *, CASE WHEN abs(640 / nullif(w, 0) - 1) < 0.01 THEN 1.0 ELSE 640 / nullif(w, 0) END AS f FROM d WHERE bbox IS NOT NULL)
 SELECT frame_id, det_no, round(f, 6) AS factor, trunc(h * f)::INT AS new_height FROM q""",
-    "e22_scale_back": f"""WITH {_P} SELECT block_id, trunc(bbox[1][1] / 1.7)::INT AS x1, trunc(bbox[1][2] / 1.7)::INT AS y1, trunc(bbox[3][1] / 1.7)::INT AS x3, trunc(bbox[3][2] / 1.7)::INT AS y3 FROM p WHERE len(bbox) = 4""",
+    "e22_scale_back": f"""WITH {_P} SELECT *, least(x1, x2, x3, x4) AS left, least(y1, y2, y3, y4) AS top, greatest(x1, x2, x3, x4) - least(x1, x2, x3, x4) AS width, greatest(y1, y2, y3, y4) - least(y1, y2, y3, y4) AS height
+FROM (SELECT block_id, {', '.join(f"trunc(bbox[{i}][{j}] / 1.7)::INT AS {n}{i}" for i in range(1, 5) for j, n in ((1, 'x'), (2, 'y')))} FROM p WHERE len(bbox) = 4)""",
     "e23_region_above": f"""WITH {_D}, q AS (SELECT frame_id, det_no, bbox[2] AS t, bbox[3] AS r FROM d WHERE bbox IS NOT NULL),
 a AS (SELECT *, greatest(0, r - 336) AS x1, greatest(0, t - 194) AS y1, least({_W}, r + 336) AS x2, t AS y2 FROM q)
 SELECT frame_id, det_no, CASE WHEN bad THEN greatest(0, r - 60) ELSE x1 END AS x1, CASE WHEN bad THEN greatest(0, t - 40) ELSE y1 END AS y1, CASE WHEN bad THEN least({_W}, r + 60) ELSE x2 END AS x2, y2 FROM (SELECT *, y1 >= y2 OR x1 >= x2 AS bad FROM a)""",

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tagweave.functions import patterns as P
@@ -11,6 +12,7 @@ from tagweave.functions.codes import parse_code
 from tagweave.operators.dictionary import exact_match, fuzzy_match, load_entries
 from tagweave.operators.fields import assign_fields, position_quantity
 from tagweave.runtime import table
+from tagweave.sources import config as C
 
 
 def _codes(spark: SparkSession, sf_dir: str, strip: bool = True) -> DataFrame:
@@ -47,9 +49,9 @@ def c11_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
 def a8_dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = None
     for name, column, upper in (("products", "code", False), ("sizes", "name", True), ("colors", "name", True)):
-        part = load_entries(table(spark, sf_dir, name), column, upper).select(F.lit(name).alias("list"), "entry", "ord")
+        part = load_entries(table(spark, sf_dir, name), column, upper).select(F.lit(name).alias("list"), "entry")
         out = part if out is None else out.unionByName(part)
-    return out
+    return out.withColumn("ord", F.row_number().over(W.partitionBy("list").orderBy("entry")))
 
 
 def _dictionaries(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
@@ -149,7 +151,7 @@ def a7_path_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def a11_config_get(spark: SparkSession, sf_dir: str) -> DataFrame:
-    first = lambda k, d: F.coalesce(F.get_json_object("props", f"$.{k}"), F.lit(d))
+    first = lambda k, d: C.json_get(F.col("props"), k, d)
     return table(spark, sf_dir, "events").select("event_id", first("page", "none").alias("page"), first("missing.key", "fallback").alias("missing"))
 
 

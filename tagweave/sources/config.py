@@ -7,6 +7,9 @@ from dataclasses import dataclass, field, fields
 from pathlib import Path
 from typing import Any
 
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
 
 def load(path: str) -> dict[str, Any]:
     """The JSON object of a settings file; empty if the file is missing, unreadable or no object."""
@@ -27,6 +30,11 @@ def get(settings: dict[str, Any], key: str, default: Any = None) -> Any:
     return at
 
 
+def json_get(settings: Column, key: str, default: str) -> Column:
+    """``get`` over a column of settings as JSON texts, the value as text; ``default`` too where the text is null or no JSON."""
+    return F.coalesce(F.get_json_object(settings, f"$.{key}"), F.lit(default))
+
+
 # The defaults of the settings where a file doesn't give them, by section.
 
 

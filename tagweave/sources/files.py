@@ -30,8 +30,10 @@ def _exists(spark: SparkSession, path: str) -> bool:
 def dictionary(spark: SparkSession, path: str, column: str = "name", upper: bool = True) -> DataFrame:
     """Entries of a JSON dictionary file (an array of objects); none if the file is missing."""
     if not _exists(spark, path):
-        return spark.createDataFrame([], "entry STRING, ord INT")
-    return load_entries(spark.read.schema(f"`{column}` STRING").option("multiLine", True).json(path), column, upper)
+        return spark.createDataFrame([], "entry STRING, ord BIGINT")
+    # One task reads a multi-line file from top to bottom, so these numbers are the entries' places in the list.
+    rows = spark.read.schema(f"`{column}` STRING").option("multiLine", True).json(path).withColumn("__place", F.monotonically_increasing_id() + 1)
+    return load_entries(rows, column, upper, "__place")
 
 
 def detection_logs(spark: SparkSession, folder: str) -> DataFrame:

@@ -36,6 +36,27 @@ def stage_record(stage: str, frame: Column, **fields: Column) -> Column:
     return F.to_json(F.struct(frame.alias("frameId"), *[c.alias(k) for k, c in fields.items()]), {"ignoreNullFields": "false"})
 
 
+#: Columns that each stage's record takes from its rows, by the record's field (fixed names).
+RECORD_FIELDS = {
+    "s3": {"rotationAngle": "rotation_angle", "orientationFixed": "orientation_fixed", "imageShape": "image_shape", "contourPointsCount": "contour_points"},
+    "s4": {"brightnessApplied": "brightness_applied", "sharpnessApplied": "sharpness_applied", "imageShape": "image_shape"},
+    "s5": {"text": "text", "polygon": "polygon", "rect": "rect", "confidence": "confidence", "backend": "backend", "preprocessingEnabled": "preprocessing_enabled", "preprocessingMode": "preprocessing_mode", "parsed": "parsed"},
+    "s6": {"mergedImageShape": "merged_shape", "aboveQrRoiShape": "above_shape", "belowQrRoiShape": "below_shape"},
+    "s7": {"textBlocks": "text_blocks"},
+    "s8": {"labelData": "label_data", "processingTimeMs": "processing_time_ms"},
+}
+
+
+def record_of(stage: str, frame: Column, **given: Column) -> Column:
+    """The JSON record of stage ``s3`` to ``s8``: its fields in their order, from the columns given by the names of ``RECORD_FIELDS``; a
+    missing one is an error, a null one is written as null. ``contour_points`` is the points' array, of which the number is written."""
+    fields = RECORD_FIELDS[stage]
+    if set(given) != set(fields.values()):
+        raise ValueError(f"stage {stage} takes {sorted(fields.values())}")
+    count = lambda c: F.greatest(F.size(c), F.lit(0))
+    return stage_record(stage, frame, **{k: count(given[c]) if c == "contour_points" else given[c] for k, c in fields.items()})
+
+
 def write_records(rows: DataFrame, debug: DebugSwitch, stage: str) -> bool:
     """Writes a stage's rows as JSON lines below its folder; nothing if the switch is off. Returns whether it wrote."""
     if (folder := debug.folder(stage)) is None:

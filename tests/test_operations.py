@@ -1,6 +1,7 @@
 import datetime as dt
 import json
 import random
+import statistics
 
 from pyspark.sql import functions as F
 
@@ -12,6 +13,33 @@ from tagweave.sources import sinks
 T0 = dt.datetime(2020, 1, 1)
 
 
+def test_median_equals_sorting(spark):
+    rng = random.Random(2)
+    rows = [(b, x) for b, n in (("a", 1001), ("b", 500), ("c", 1), (None, 4), ("d", 3)) for x in [rng.choice([rng.random() * 1e6, 7.0, -1.0]) for _ in range(n)]] + [("a", None), ("e", None)]
+    got = {r.b: (r.n, r.median_ms) for r in M.latency_stats(spark.createDataFrame(rows, "b string, ms double"), ["b"], "ms").collect()}
+    want = {b: [x for k, x in rows if k == b and x is not None] for b in {k for k, _ in rows}}
+    assert got == {b: (len(v), statistics.median(v) if v else 0.0) for b, v in want.items()}
+    assert M.latency_stats(spark.createDataFrame([], "b string, ms double"), ["b"], "ms").count() == 0
+
+
+def test_error_frames(spark):
+    df = spark.createDataFrame([("b1", "f1", "bad"), ("b1", "f1", "bad"), ("b1", "f2", None), ("b2", "f3", "bad"), (None, "f4", "bad"), ("b2", "f5", "worse")], "b string, f string, e string")
+    assert sorted((r.b or "", r.f) for r in M.error_frames(df, "b", "f", F.col("e"), "bad").collect()) == [("", "f4"), ("b1", "f1"), ("b2", "f3")]
+
+
+def test_each_stage_runs_once(spark):
+    ran = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            ran.add(len(b))
+            yield b
+
+    stages = tuple(Stage(f"s{i}", lambda d: d.mapInPandas(count, d.schema), F.col("n") >= i, f"e{i}") for i in range(3))
+    got = Pipeline("n", stages).apply(spark.range(4).select(F.col("id").alias("n")))
+    assert {r.n: r.error for r in got.collect()} == {0: "e1", 1: "e2", 2: None, 3: None} and ran.value == 4 + 4 + 3
+
+
 def test_batch_summary(spark):
     rows = [("a", True, {"total": 10.0}), ("a", False, {"s2": 4.0}), ("a", None, None), (None, True, {"total": 5.0})]
     df = spark.createDataFrame(rows, "b string, ok boolean, t map<string,double>")
@@ -37,7 +65,7 @@ def test_latency_and_comparison(spark):
 
 def test_triage_has_a_grand_total(spark):
     df = spark.createDataFrame([("x", "f1", "bad"), ("x", "f2", None), ("y", "f3", None), (None, "f4", "bad")], "b string, f string, e string")
-    got = {(r.b, r.is_total): (r.total, r.errors, r.error_rate) for r in M.error_triage(df, "b", "f", F.col("e"), "bad").collect()}
+    got = {(r.b, r.is_total): (r.total, r.errors, r.error_rate) for r in M.error_triage(df, "b", F.col("e"), "bad").collect()}
     assert got == {("x", False): (2, 1, 50.0), ("y", False): (1, 0, 0.0), (None, False): (1, 1, 100.0), (None, True): (4, 2, 50.0)}
     files = spark.createDataFrame([("f1",), ("f1",), ("f2",)], "g string")
     there, missing = M.error_files(df, "f", F.col("e"), "bad", files, "g")

@@ -18,8 +18,8 @@ def counts(spark, rows):
 
 
 def test_masks(spark):
-    got = spark.createDataFrame([("AB-12c",), ("",), (None,), ("É1",)], "v string").select(P.mask(F.col("v")), P.short_mask(F.col("v"))).collect()
-    assert [tuple(r) for r in got] == [("AA-99a", "A+-9+a"), ("", ""), (None, None), ("É9", "É9")]
+    got = spark.createDataFrame([("AB-12c",), ("",), (None,), ("É1é",)], "v string").select(P.mask(F.col("v")), P.short_mask(F.col("v"))).collect()
+    assert [tuple(r) for r in got] == [("AA-99a", "A+-9+a"), ("", ""), (None, None), ("Ü9ü", "Ü9ü")]
 
 
 @pytest.mark.parametrize("code, real", [("022920", True), ("022919", False), ("123218", False), ("12181", False), ("1218AB", False), (None, None)])

@@ -39,7 +39,7 @@ def test_edit_similarity(spark):
 def test_blocking_loses_nothing(spark):
     texts = spark.createDataFrame([(a,) for a, _ in pairs(150)] + [("",), (" ab ",)], "t string").distinct()
     entries = load_entries(spark.createDataFrame([(b,) for _, b in pairs(150)], "e string"), "e", True)
-    words = [r.entry for r in entries.orderBy("ord").collect()]
+    words = [r.entry for r in entries.orderBy("ord", "entry").collect()]
 
     def edits(a, b):
         row = list(range(len(b) + 1))
