@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tagweave.functions.codes import canonical_code
 from tagweave.llm.canonical import canonical_entries
+from tagweave.llm.codes import canonical_code
 from tagweave.llm.leakage import leaks
 from tagweave.llm.packing import fill, pack, token_count
 from tagweave.llm.reading import reading_levels
@@ -110,6 +110,16 @@ def p6_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fill(_packed(spark, sf_dir))
 
 
+def p6_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What any right filling must show: all tokens and pieces there, nothing over capacity or split without need, hardly more
+    containers than the bound that no filling beats."""
+    packed = _packed(spark, sf_dir)
+    whole = fill(packed).select("n_pieces", "n_tokens", "least_containers", (F.col("n_containers") <= F.ceil(F.col("least_containers") * 1.01)).alias("tight"))
+    over = packed.groupBy("container").agg(F.sum("piece_tokens").alias("t")).agg(F.count_if(F.col("t") > 1024).alias("n_overfull"))
+    split = packed.agg(F.count_if((F.col("n_tokens") <= 1024) & (F.col("piece_tokens") < F.col("n_tokens"))).alias("n_split_without_need"), F.count_distinct("doc_id").alias("n_documents"))
+    return whole.join(over).join(split)
+
+
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks(table(spark, sf_dir, "documents"), F.col("doc_id"), F.col("text"), table(spark, sf_dir, "eval_items"), F.col("item_id"), F.col("text"))
 
@@ -133,7 +143,7 @@ def p8_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return levels.groupBy("source", "band").agg(F.count("*").alias("n_documents"), F.round(F.avg("level"), 2).alias("mean_level"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_runs, p4_found, p4_survivors, p5_found, p5_unmatched, p6_found, p6_containers, p6_fill, p7_found, p7_items, p8_found, p8_profile)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_runs, p4_found, p4_survivors, p5_found, p5_unmatched, p6_found, p6_containers, p6_fill, p6_totals, p7_found, p7_items, p8_found, p8_profile)}
 
 # The printed code that a noisy reading stands for, as a SQL expression over the column c.
 _CODE = r"""
@@ -155,6 +165,8 @@ g AS (SELECT *, sum(s) OVER (PARTITION BY camera_id ORDER BY t, frame_id) AS run
 
 ORACLES = {
     "p6_found": r"SELECT doc_id FROM documents WHERE len(regexp_extract_all(text, '[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s\x{0b}\x{1c}-\x{1f}\x{85}\p{Z}]+')) > 1024",
+    "p6_totals": r"""WITH n AS (SELECT doc_id, len(regexp_extract_all(text, '[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s\x{0b}\x{1c}-\x{1f}\x{85}\p{Z}]+'))::BIGINT AS n FROM documents)
+SELECT sum(ceil(n / 1024))::BIGINT AS n_pieces, sum(n)::BIGINT AS n_tokens, ceil(sum(n) / 1024)::BIGINT AS least_containers, true AS tight, 0::BIGINT AS n_overfull, 0::BIGINT AS n_split_without_need, count(*) AS n_documents FROM n WHERE n > 0""",
     "p1_found": rf"""{_RUNS}
 SELECT arg_min(frame_id, (t, frame_id)) AS first_frame_id, arg_max(frame_id, (t, frame_id)) AS last_frame_id FROM g GROUP BY camera_id, run HAVING count(*) > 1""",
     "p1_runs": rf"""{_RUNS}
