@@ -114,8 +114,8 @@ def p6_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What any right filling must show: all tokens and pieces there, nothing over capacity or split without need, hardly more
     containers than the bound that no filling beats."""
     split = F.count_if((F.col("n_tokens") <= 1024) & (F.col("piece_tokens") < F.col("n_tokens")))
-    by = _packed(spark, sf_dir).groupBy("container").agg(F.sum("piece_tokens").alias("t"), F.count("*").alias("k"), F.count_if("piece = 1").alias("d"), split.alias("s"))
-    total = by.agg(F.count("*").alias("n"), F.sum("k").alias("n_pieces"), F.sum("t").alias("n_tokens"), F.count_if("t > 1024").alias("n_overfull"), F.sum("s").alias("n_split_without_need"), F.sum("d").alias("n_documents"))
+    by = _packed(spark, sf_dir).groupBy("container").agg(F.sum("piece_tokens").alias("t"), F.count("*").alias("k"), F.count_if(F.col("piece") == 1).alias("d"), split.alias("s"))
+    total = by.agg(F.count("*").alias("n"), F.sum("k").alias("n_pieces"), F.sum("t").alias("n_tokens"), F.count_if(F.col("t") > 1024).alias("n_overfull"), F.sum("s").alias("n_split_without_need"), F.sum("d").alias("n_documents"))
     least = F.ceil(F.col("n_tokens") / 1024)
     return total.select("n_pieces", "n_tokens", least.alias("least_containers"), (F.col("n") <= F.ceil(least * 1.01)).alias("tight"), "n_overfull", "n_split_without_need", "n_documents")
 
