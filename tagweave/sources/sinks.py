@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import os
-import shutil
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -88,22 +89,56 @@ def batch_report(results: DataFrame, batch: str, frame: str, success: Column, ti
     )
 
 
-def write_images(rows: DataFrame, name: str, image: str, folder: str) -> DataFrame:
-    """Writes every image as ``<folder>/<name>.png`` (compression 3) on the executors, making folders as needed; ``name, written``.
+def _shared(rows: DataFrame, path: str) -> None:
+    """An error for a path of one machine where the tasks run on several."""
+    if "://" not in path and not rows.sparkSession.sparkContext.master.startswith("local"):
+        raise ValueError(f"{path!r} is a path of each machine's own; name a shared file system (file://, hdfs://, s3:// ...)")
+
+
+def _encoded(image: np.ndarray, suffix: str, quality: int) -> bytes:
+    """The image as a file of its suffix: PNG by the kernel of our own (compression 3), JPEG by whichever image library is installed."""
+    if suffix == "png":
+        return pixels.png_encode(image)
+    if suffix not in ("jpg", "jpeg"):
+        raise ValueError(f"no encoder for .{suffix}")
+    try:
+        import cv2
+
+        done, data = cv2.imencode(".jpg", image, [cv2.IMWRITE_JPEG_QUALITY, quality])
+        if not done:
+            raise ValueError("image not encoded")
+        return data.tobytes()
+    except ModuleNotFoundError:
+        import io
+
+        from PIL import Image
+
+        out = io.BytesIO()
+        Image.fromarray(image if image.ndim == 2 else image[:, :, ::-1]).save(out, "JPEG", quality=quality)
+        return out.getvalue()
+
+
+def write_images(rows: DataFrame, name: str, image: str, folder: str, suffix: str = "png", quality: int = 95) -> DataFrame:
+    """Writes every image as ``<folder>/<name>.<suffix>`` (PNG, or JPEG of ``quality`` where an image library is installed) on the executors,
+    making folders as needed; ``name, written``. ``folder`` may be on any file system that Arrow knows by its URI; on a cluster it
+    must be, as a plain path is each machine's own.
 
     Lazy like any plan: the files are there once the result has been read. A null or broken image isn't written. A task that is
     run again writes the same files again."""
+    _shared(rows, folder)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        system, base = fs.FileSystem.from_uri(folder if "://" in folder else os.path.abspath(folder))
         for batch in batches:
             done = []
             for n, im in zip(batch["name"], batch["image"]):
                 try:
-                    path = os.path.join(folder, f"{n}.png")
-                    os.makedirs(os.path.dirname(path), exist_ok=True)
-                    with open(f"{path}.part", "wb") as f:
-                        f.write(pixels.png_encode(to_array(im["h"], im["w"], im["c"], im["data"])))
-                    os.replace(f"{path}.part", path)
+                    path = f"{base}/{n}.{suffix}"
+                    data = _encoded(to_array(im["h"], im["w"], im["c"], im["data"]), suffix, quality)
+                    system.create_dir(os.path.dirname(path), recursive=True)
+                    with system.open_output_stream(f"{path}.part") as f:
+                        f.write(data)
+                    system.move(f"{path}.part", path)
                     done.append(True)
                 except Exception:  # errors are data
                     done.append(False)
@@ -112,18 +147,31 @@ def write_images(rows: DataFrame, name: str, image: str, folder: str) -> DataFra
     return rows.select(F.col(name).cast("string").alias("name"), F.col(image).alias("image")).mapInPandas(run, "name STRING, written BOOLEAN")
 
 
+def write_stage_images(rows: DataFrame, debug: DebugSwitch, stage: str, frame: str, image: str, prefix: str = "") -> DataFrame | None:
+    """``write_images`` of a stage's images as ``<stage folder>/<prefix>_<frame>.png``; None if the switch is off."""
+    if (folder := debug.folder(stage)) is None:
+        return None
+    name = F.concat(F.lit(f"{prefix}_" if prefix else ""), F.col(frame).cast("string"))
+    return write_images(rows.select(name.alias("name"), F.col(image).alias("image")), "name", "image", folder)
+
+
 def copy_files(files: DataFrame, source: str, target: str) -> DataFrame:
-    """Copies the file in column ``source`` to the path in ``target`` on the executors: ``source, target, copied``."""
+    """Copies the file in column ``source`` to the path in ``target`` on the executors: ``source, target, copied``. Paths are URIs of any file
+    system that Arrow knows, or plain ones where all tasks run on this machine."""
+    local = files.sparkSession.sparkContext.master.startswith("local")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             done = []
             for a, b in zip(batch["source"], batch["target"]):
                 try:
-                    os.makedirs(os.path.dirname(b), exist_ok=True)
-                    shutil.copy2(a, b)
+                    if not local and not ("://" in a and "://" in b):
+                        raise ValueError("plain paths are each machine's own")
+                    there, to = (fs.FileSystem.from_uri(p if "://" in p else os.path.abspath(p)) for p in (a, b))
+                    to[0].create_dir(os.path.dirname(to[1]), recursive=True)
+                    fs.copy_files(there[1], to[1], source_filesystem=there[0], destination_filesystem=to[0])
                     done.append(True)
-                except (OSError, TypeError):
+                except Exception:  # errors are data
                     done.append(False)
             yield batch.assign(copied=done)
 
