@@ -40,9 +40,9 @@ def collapse_runs(
     """
     whole = F.lit(True) if complete is None else F.coalesce(complete, F.lit(False))
     base = events.select(
-        entity.alias("e"), event_id.alias("i"), micros(ts).alias("us"), ts.cast("timestamp_ntz").alias("t"), value.alias("v"), whole.alias("c")
+        entity.alias("e"), event_id.alias("i"), micros(ts).alias("us"), value.alias("v"), whole.alias("c")
     ).where("e is not null and i is not null and us is not null and v is not null")
-    once = base.groupBy("e", "i").agg(F.min(F.struct("us", "t", (~F.col("c")).alias("cut"), "v")).alias("m"))
+    once = base.groupBy("e", "i").agg(F.min(F.struct("us", (~F.col("c")).alias("cut"), "v")).alias("m"))
     step = int(bucket_s) * 1_000_000
     once = once.select("e", "i", "m.us", "m.v", (~F.col("m.cut")).alias("c"), F.floor(F.col("m.us") / step).alias("b"))
 
