@@ -112,6 +112,13 @@ def e9_field_assignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assign_fields(frames, "frame_id", "qr_position", blocks, "text", "confidence", "y", "block_id", _dictionaries(spark, sf_dir))
 
 
+def e9_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The assigned fields with their confidences as columns."""
+    told = e9_field_assignment(spark, sf_dir)
+    keys = {"position_conf": "positionQuantity", "product_conf": "productCode", "size_conf": "size", "color_conf": "color"}
+    return told.select(*[c for c in told.columns if c != "field_confidences"], *[F.round(F.col("field_confidences")[k], 6).alias(c) for c, k in keys.items()])
+
+
 def w4_blocks_top_down(spark: SparkSession, sf_dir: str) -> DataFrame:
     blocks = table(spark, sf_dir, "ocr_blocks").where("bbox is not null and size(bbox) > 0").select("frame_id", F.struct(F.col("bbox")[0][1].alias("y"), "block_id", "text").alias("b")).distinct()
     ordered = blocks.groupBy("frame_id").agg(F.array_sort(F.collect_list("b")).alias("b"))
@@ -159,7 +166,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         e1_code_parse, e1_code_parse_unstripped, d1_facility_counts, c12_validity, c11_patterns, a8_dictionary, j1_exact_membership, e4_similarities, j2_fuzzy_match, j2_fuzzy_match_all, e7_position_quantity,
-        e9_field_assignment, w4_blocks_top_down, j3_code_with_texts, j6_zipped_texts, e29_display, a4_frame_ids, a7_path_ids, a11_config_get,
+        e9_field_assignment, e9_fields, w4_blocks_top_down, j3_code_with_texts, j6_zipped_texts, e29_display, a4_frame_ids, a7_path_ids, a11_config_get,
     )
 }
 
@@ -210,6 +217,38 @@ d AS (SELECT *, CASE WHEN one THEN try_cast(regexp_extract(s, '^(\d+)', 1) AS BI
   CASE WHEN one THEN try_cast(regexp_extract(s, '(\d+)$', 1) AS BIGINT) ELSE try_cast(right(rest, 1) AS BIGINT) END AS quantity,
   CASE WHEN one THEN 1.0 WHEN regexp_full_match(rest, '[1|lI!tij7][0-9]') THEN 0.9 WHEN regexp_full_match(rest, '[0-9]') THEN 0.85 END::DOUBLE AS factor FROM c)
 SELECT frame_id, block_no, text, qr_position, position, quantity, factor FROM d WHERE factor IS NOT NULL AND quantity >= position""",
+    "e9_fields": rf"""WITH {_QR}, p AS (SELECT frame_id, coalesce(max(CASE WHEN ok THEN try_cast(x.p AS BIGINT) END), 0) AS qr_position FROM qr GROUP BY 1),
+t AS (SELECT DISTINCT text, regexp_replace(text, '^\s+|\s+$', '', 'g') AS s, upper(s) AS u FROM ocr_blocks WHERE text IS NOT NULL),
+dict AS (SELECT 'product' AS k, code AS entry FROM products UNION SELECT 'size', upper(trim(name)) FROM sizes UNION SELECT 'color', upper(trim(name)) FROM colors),
+usual AS (SELECT text, s, u, 'product' AS k FROM t WHERE regexp_full_match(s, '[A-Za-z0-9]{{3,9}}') UNION ALL SELECT text, s, u, 'size' FROM t WHERE regexp_full_match(u, '[A-Z0-9/-]{{1,7}}')
+  UNION ALL SELECT text, s, u, 'color' FROM t WHERE regexp_full_match(u, '[A-Za-z /]{{3,}}')),
+exact AS (SELECT text, k, coalesce(max(entry) FILTER (WHERE entry = u), max(entry)) AS entry FROM usual JOIN dict USING (k) WHERE entry = u OR (k = 'product' AND entry = s) GROUP BY ALL),
+rest AS (SELECT * FROM usual ANTI JOIN exact USING (text, k)),
+pairs AS (SELECT DISTINCT u AS a, upper(entry) AS b FROM rest JOIN dict USING (k) WHERE u <> ''), {_JW},
+near AS (SELECT text, k, entry, greatest(es, jws) AS score FROM rest JOIN dict USING (k) JOIN jw ON a = u AND b = upper(entry) WHERE greatest(es, jws) > 0.9
+  QUALIFY row_number() OVER (PARTITION BY text, k ORDER BY greatest(es, jws) DESC, entry) = 1),
+hit AS (SELECT text, k, entry, 1.0::DOUBLE AS score FROM exact UNION ALL SELECT * FROM near),
+m AS (SELECT text, max(entry) FILTER (WHERE k = 'product') AS pe, max(score) FILTER (WHERE k = 'product') AS ps, max(entry) FILTER (WHERE k = 'size') AS se, max(score) FILTER (WHERE k = 'size') AS ss,
+  max(entry) FILTER (WHERE k = 'color') AS ce, max(score) FILTER (WHERE k = 'color') AS cs FROM hit GROUP BY 1),
+fr AS (SELECT frame_id, qr_position FROM p SEMI JOIN ocr_blocks USING (frame_id)),
+b0 AS (SELECT DISTINCT frame_id, text, coalesce(confidence, 0.0) AS c, bbox[1][2] AS y, block_id FROM ocr_blocks WHERE text IS NOT NULL AND bbox[1][2] IS NOT NULL),
+b1 AS (SELECT b0.*, qr_position, regexp_replace(text, '^\s+|\s+$', '', 'g') AS s, row_number() OVER (PARTITION BY frame_id ORDER BY y, block_id, text, c) AS i FROM b0 JOIN fr USING (frame_id)),
+b2 AS (SELECT *, regexp_full_match(s, '\d+\s*/\s*\d+') AS one, CASE WHEN qr_position > 0 AND starts_with(s, qr_position::VARCHAR) THEN substr(s, length(qr_position::VARCHAR) + 1) END AS tail FROM b1),
+b3 AS (SELECT *, CASE WHEN one THEN try_cast(regexp_extract(s, '^(\d+)', 1) AS BIGINT) ELSE qr_position END AS po, CASE WHEN one THEN try_cast(regexp_extract(s, '(\d+)$', 1) AS BIGINT) ELSE try_cast(right(tail, 1) AS BIGINT) END AS qu,
+  CASE WHEN one THEN 1.0 WHEN regexp_full_match(tail, '[1|lI!tij7][0-9]') THEN 0.9 WHEN regexp_full_match(tail, '[0-9]') THEN 0.85 END::DOUBLE AS fa FROM b2),
+b AS (SELECT b3.* EXCLUDE (fa), CASE WHEN qu >= po THEN fa END AS fa, pe, ps, se, ss, ce, cs FROM b3 LEFT JOIN m USING (text)),
+x0 AS (SELECT frame_id, min(i) AS i0 FROM b WHERE fa IS NOT NULL GROUP BY 1),
+x1 AS (SELECT x0.*, (SELECT min(i) FROM b WHERE b.frame_id = x0.frame_id AND pe IS NOT NULL AND i > i0) AS i1 FROM x0),
+x2 AS (SELECT x1.*, (SELECT min(i) FROM b WHERE b.frame_id = x1.frame_id AND se IS NOT NULL AND i > greatest(i0, coalesce(i1, 0))) AS i2 FROM x1),
+x3 AS (SELECT x2.*, (SELECT min(i) FROM b WHERE b.frame_id = x2.frame_id AND ce IS NOT NULL AND i > greatest(i0, coalesce(i1, 0), coalesce(i2, 0))) AS i3 FROM x2),
+sp AS (SELECT b.* FROM b JOIN x3 USING (frame_id) WHERE i NOT IN (i0, coalesce(i1, 0), coalesce(i2, 0), coalesce(i3, 0))),
+x AS (SELECT x3.*, coalesce(i1, (SELECT min(i) FROM sp WHERE sp.frame_id = x3.frame_id AND pe IS NOT NULL)) AS j1, coalesce(i2, (SELECT min(i) FROM sp WHERE sp.frame_id = x3.frame_id AND se IS NOT NULL)) AS j2,
+  coalesce(i3, (SELECT min(i) FROM sp WHERE sp.frame_id = x3.frame_id AND ce IS NOT NULL)) AS j3 FROM x3)
+SELECT fr.frame_id, fr.qr_position, coalesce(q.po::VARCHAR || '/' || q.qu::VARCHAR, '') AS position_quantity, coalesce(q.po, 0) AS ocr_position, coalesce(q.qu, 0) AS quantity, coalesce(b1_.pe, '') AS product_code, coalesce(b2_.se, '') AS size,
+  coalesce(b3_.ce, '') AS color, coalesce(fr.qr_position = q.po AND q.po > 0, false) AS is_valid, round(q.c * q.fa, 6) AS position_conf, round(b1_.c * b1_.ps * CASE WHEN i1 IS NULL THEN 0.8 ELSE 1 END, 6) AS product_conf,
+  round(b2_.c * b2_.ss * CASE WHEN i2 IS NULL THEN 0.8 ELSE 1 END, 6) AS size_conf, round(b3_.c * b3_.cs * CASE WHEN i3 IS NULL THEN 0.8 ELSE 1 END, 6) AS color_conf
+FROM fr LEFT JOIN x USING (frame_id) LEFT JOIN b q ON q.frame_id = fr.frame_id AND q.i = i0 LEFT JOIN b b1_ ON b1_.frame_id = fr.frame_id AND b1_.i = j1
+  LEFT JOIN b b2_ ON b2_.frame_id = fr.frame_id AND b2_.i = j2 LEFT JOIN b b3_ ON b3_.frame_id = fr.frame_id AND b3_.i = j3""",
     "w4_blocks_top_down": """SELECT frame_id, string_agg(coalesce(text, ''), '|' ORDER BY y, block_id, text) AS texts FROM (SELECT DISTINCT frame_id, block_id, text, bbox[1][2] AS y FROM ocr_blocks WHERE len(bbox) > 0) GROUP BY 1""",
     "j3_code_with_texts": rf"""WITH {_QR}, t AS (SELECT frame_id, count(DISTINCT block_id) AS n_blocks FROM ocr_blocks GROUP BY 1)
 SELECT DISTINCT frame_id, x.n AS order_number, try_cast(x.p AS BIGINT) AS position, n_blocks FROM qr JOIN t USING (frame_id) WHERE ok""",
