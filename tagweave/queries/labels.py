@@ -217,6 +217,11 @@ d AS (SELECT *, CASE WHEN one THEN try_cast(regexp_extract(s, '^(\d+)', 1) AS BI
   CASE WHEN one THEN try_cast(regexp_extract(s, '(\d+)$', 1) AS BIGINT) ELSE try_cast(right(rest, 1) AS BIGINT) END AS quantity,
   CASE WHEN one THEN 1.0 WHEN regexp_full_match(rest, '[1|lI!tij7][0-9]') THEN 0.9 WHEN regexp_full_match(rest, '[0-9]') THEN 0.85 END::DOUBLE AS factor FROM c)
 SELECT frame_id, block_no, text, qr_position, position, quantity, factor FROM d WHERE factor IS NOT NULL AND quantity >= position""",
+    "j2_fuzzy_match_all": rf"""WITH t AS (SELECT DISTINCT text, upper(regexp_replace(text, '^\s+|\s+$', '', 'g')) AS s FROM ocr_blocks WHERE text IS NOT NULL),
+dict AS (SELECT 'product' AS list, code AS entry FROM products UNION SELECT 'size', upper(trim(name)) FROM sizes UNION SELECT 'color', upper(trim(name)) FROM colors),
+pairs AS (SELECT DISTINCT s AS a, upper(entry) AS b FROM t, dict WHERE s <> ''), {_JW},
+best AS (SELECT a, list, entry, greatest(es, jws) AS score FROM jw JOIN dict ON b = upper(entry) WHERE greatest(es, jws) > 0.9 QUALIFY row_number() OVER (PARTITION BY a, list ORDER BY greatest(es, jws) DESC, entry) = 1)
+SELECT text, k.list AS list, coalesce(entry, '') AS match, round(coalesce(score, CASE WHEN s = '' THEN 0.0 ELSE 0.9 END), 6) AS score FROM (SELECT * FROM t, (SELECT DISTINCT list FROM dict)) k LEFT JOIN best ON best.a = k.s AND best.list = k.list""",
     "e9_fields": rf"""WITH {_QR}, p AS (SELECT frame_id, coalesce(max(CASE WHEN ok THEN try_cast(x.p AS BIGINT) END), 0) AS qr_position FROM qr GROUP BY 1),
 t AS (SELECT DISTINCT text, regexp_replace(text, '^\s+|\s+$', '', 'g') AS s, upper(s) AS u FROM ocr_blocks WHERE text IS NOT NULL),
 dict AS (SELECT 'product' AS k, code AS entry FROM products UNION SELECT 'size', upper(trim(name)) FROM sizes UNION SELECT 'color', upper(trim(name)) FROM colors),
